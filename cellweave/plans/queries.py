@@ -1,4 +1,52 @@
 """Queries over the given tables, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellweave.operators import profile
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return profile.found(_table(spark, d, "obs"), _table(spark, d, "protocol_ref"))
+
+
+def p2_profile(spark: SparkSession, d: str) -> DataFrame:
+    rows = profile.checked(_table(spark, d, "obs"), _table(spark, d, "protocol_ref"))
+    return profile.base_aggregates(rows)
+
+
+def p2_drift(spark: SparkSession, d: str) -> DataFrame:
+    rows = profile.checked(_table(spark, d, "obs"), _table(spark, d, "protocol_ref"))
+    return profile.two_sample_test(rows)
+
+
+_CHECKED = """WITH chk AS (SELECT o.load_no, o._row_index AS row_index, o.barcode, o._source_file,
+  CASE WHEN o.barcode IS NULL THEN NULL WHEN o.scrnaseq_protocol IS NULL THEN EXISTS (SELECT 1 FROM protocol_ref q WHERE regexp_full_match(o.barcode, q.barcode_pattern))
+       ELSE EXISTS (SELECT 1 FROM protocol_ref q WHERE q.scrnaseq_protocol = o.scrnaseq_protocol AND regexp_full_match(o.barcode, q.barcode_pattern)) END AS barcode_ok,
+  regexp_full_match(o._source_file, '[0-9]{8}_[a-z0-9]+\\.(zarr|h5ad)') AS file_ok FROM obs o)
+"""
+
+QUERIES: dict = {f.__name__: f for f in (p2_found, p2_profile, p2_drift)}
+SQL: dict = {
+    "p2_found": _CHECKED
+    + """, n AS (SELECT load_no, count(*) AS n, count(*) FILTER (WHERE barcode IS NULL) / count(*) AS nb, count(*) FILTER (WHERE _source_file IS NULL) / count(*) AS nf FROM chk GROUP BY 1),
+t AS (SELECT load_no, max(k) AS k FROM (SELECT load_no, _source_file, count(*) AS k FROM chk WHERE _source_file IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT load_no, nb, nf, coalesce(k, 0) / n AS ts, lag(nb) OVER w AS nb0, lag(nf) OVER w AS nf0, lag(coalesce(k, 0) / n) OVER w AS ts0 FROM n LEFT JOIN t USING (load_no) WHERE load_no IS NOT NULL WINDOW w AS (ORDER BY load_no))
+SELECT load_no, 'barcode' AS column_name, 'pattern' AS measure, row_index FROM chk WHERE NOT barcode_ok
+UNION ALL SELECT load_no, '_source_file', 'pattern', row_index FROM chk WHERE NOT file_ok
+UNION ALL SELECT load_no, 'barcode', 'null_share', CAST(-1 AS BIGINT) FROM s WHERE abs(nb - nb0) > 0.05
+UNION ALL SELECT load_no, '_source_file', 'null_share', CAST(-1 AS BIGINT) FROM s WHERE abs(nf - nf0) > 0.05
+UNION ALL SELECT load_no, '_source_file', 'top_share', CAST(-1 AS BIGINT) FROM s WHERE abs(ts - ts0) > 0.15""",
+    "p2_profile": _CHECKED
+    + """, v AS (SELECT load_no, 'barcode' AS column_name, barcode AS v, barcode_ok AS ok FROM chk UNION ALL SELECT load_no, '_source_file', _source_file, file_ok FROM chk),
+k AS (SELECT load_no, column_name, v, count(*) AS k FROM v WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+kk AS (SELECT load_no, column_name, max(k) AS top_rows, count(*) AS n_distinct FROM k GROUP BY 1, 2)
+SELECT b.*, coalesce(kk.top_rows, 0) AS top_rows, coalesce(kk.n_distinct, 0) AS n_distinct FROM (SELECT column_name, load_no, count(*) AS n_rows, count(*) FILTER (WHERE v IS NULL) AS nulls, count(*) FILTER (WHERE NOT ok) AS malformed, min(v) AS least, max(v) AS greatest FROM v GROUP BY 1, 2) b
+LEFT JOIN kk ON kk.column_name = b.column_name AND kk.load_no IS NOT DISTINCT FROM b.load_no""",
+}
