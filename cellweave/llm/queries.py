@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import frequency, mixing, tokenizer, topn
+from cellweave.llm import frequency, mixing, percentiles, schemadrift, tokenizer, topn
 from cellweave.operators.blocks import read_blocks
 
 
@@ -29,6 +29,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_genes(_blocks(spark, d), 3).select("row_index", "rank_no", "gene_index")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.far_outside(_table(spark, d, "obs"))
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.file_percentiles(_table(spark, d, "obs"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return schemadrift.schema_changes(_table(spark, d, "obs_raw"), _table(spark, d, "obs_report"))
+
+
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    return schemadrift.unified_table(_table(spark, d, "obs_raw"), _table(spark, d, "obs_report"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(_table(spark, d, "documents"))
 
@@ -48,4 +64,4 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(sized, _table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p7_ids, p8_found, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p5_found, p5_percentiles, p6_found, p6_table, p7_ids, p8_found, p8_mix, p8_shares)}

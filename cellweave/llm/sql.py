@@ -27,4 +27,10 @@ SQL = {
 SELECT row_index, CAST(rank_no AS INTEGER) AS rank_no, CAST(col AS INTEGER) AS gene_index
 FROM (SELECT row_index, col, row_number() OVER (PARTITION BY row_index ORDER BY val DESC, col) AS rank_no FROM x WHERE val > 0)
 WHERE rank_no <= 3""",
+    "p5_found": """WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY _row_index ORDER BY load_no DESC) AS rn FROM obs WHERE _row_index IS NOT NULL)
+  WHERE rn = 1 AND regexp_full_match(_source_file, '[0-9]{8}_[a-z0-9]+\\.(zarr|h5ad)')),
+v AS (SELECT _row_index AS row_index, _source_file AS f, 'nnz' AS measure, CAST(nnz AS DOUBLE) AS v FROM cur UNION ALL SELECT _row_index, _source_file, 'total_counts', CAST(total_counts AS DOUBLE) FROM cur),
+g AS (SELECT *, row_number() OVER (PARTITION BY f, measure ORDER BY v) AS r, count(*) OVER (PARTITION BY f, measure) AS n FROM v WHERE v IS NOT NULL AND NOT isnan(v) AND v >= 0),
+q AS (SELECT f, measure, max(v) FILTER (WHERE r = (n + 3) // 4) AS p25, max(v) FILTER (WHERE r = (3 * n + 3) // 4) AS p75 FROM g GROUP BY 1, 2)
+SELECT row_index, measure FROM g JOIN q USING (f, measure) WHERE v < p25 / 4 OR v > 4 * p75""",
 }
