@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import frequency, mixing, percentiles, schemadrift, tokenizer, topn
+from cellweave.llm import frequency, mixing, percentiles, pii, schemadrift, tokenizer, topn
 from cellweave.operators.blocks import read_blocks
 
 
@@ -64,4 +64,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(sized, _table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p5_found, p5_percentiles, p6_found, p6_table, p7_ids, p8_found, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(_table(spark, d, "documents"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(_table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p5_found, p5_percentiles, p6_found, p6_table, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_redacted)}
