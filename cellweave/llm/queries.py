@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import frequency, mixing, percentiles, pii, schemadrift, tokenizer, topn
+from cellweave.llm import clusters, frequency, mixing, percentiles, pii, schemadrift, tokenizer, topn
 from cellweave.operators.blocks import read_blocks
 
 
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.found_clusters(_blocks(spark, d))
+
+
+def p1_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.describe_clusters(_blocks(spark, d))
+
+
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return frequency.gene_frequencies(_blocks(spark, d), _table(spark, d, "var_genes")).select("gene", "entries", "cells", "all_cells", "mark")
 
@@ -72,4 +80,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p5_found, p5_percentiles, p6_found, p6_table, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_counts, p4_found, p5_found, p5_percentiles, p6_found, p6_table, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_redacted)}
