@@ -121,7 +121,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, SLICE)
 
 
-def entries(blocks: DataFrame) -> DataFrame:
+def entries(blocks: DataFrame, most: int = MOST_REWRITTEN) -> DataFrame:
     """The matrix as coordinates (``row_id``, ``col_id``, ``val``), repeated coordinates summed."""
 
     def run(batches):
@@ -130,4 +130,4 @@ def entries(blocks: DataFrame) -> DataFrame:
             row, col, data = sum_cells(row, col, data)
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(col, pa.int32()), pa.array(data, pa.int64())], ["row_id", "col_id", "val"])
 
-    return latest_blocks(blocks).mapInArrow(run, "row_id long, col_id int, val long")
+    return latest_blocks(blocks, most).mapInArrow(run, "row_id long, col_id int, val long")
