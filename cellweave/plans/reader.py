@@ -107,7 +107,7 @@ class ObsView:
 
     def __repr__(self) -> str:
         n, k = self.shape
-        return f"ObsView (ObsWrapper-like) of {n} rows and {k} columns: {', '.join(self.columns)}"
+        return f"ObsView of {n} rows and {k} columns: {', '.join(self.columns)}"
 
 
 class Dataset:
