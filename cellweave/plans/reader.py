@@ -211,16 +211,17 @@ class Dataset:
     # --- local results --------------------------------------------------------------------
     def rows_csr(self, index: Any) -> Csr:
         ids = self.row_ids(index)
-        x = self.row_entries(ids)
-        self._guard(x, len(ids))
-        return to_csr(x.toPandas(), ids, self.num_columns, "row_id", "col_id")
+        return to_csr(self._local(self.row_entries(ids), len(ids)), ids, self.num_columns, "row_id", "col_id")
 
     def columns_csr(self, index: Any) -> Csr:
         """Genes as rows, cells as columns."""
         ids = self.col_ids(index)
-        x = self.col_entries(ids)
-        self._guard(x, len(ids))
-        return to_csr(x.toPandas(), ids, self.num_rows, "col_id", "row_id")
+        return to_csr(self._local(self.col_entries(ids), len(ids)), ids, self.num_rows, "col_id", "row_id")
+
+    def _local(self, x: DataFrame, k: int) -> pd.DataFrame:
+        """The entries on the driver, if the memory guard lets them."""
+        self._guard(x, k)
+        return (x.coalesce(settings.max_workers) if settings.max_workers else x).toPandas()
 
     def _guard(self, x: DataFrame, k: int) -> None:
         need, free = matrix.memory_estimate(x.count(), k)["bytes"], available_memory()
