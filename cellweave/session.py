@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,21 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most
         return left.join(right, on, how)
     spark = left.sparkSession
     return left.join(F.broadcast(spark.createDataFrame(rows, right.schema)), on, how)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for the workers of a session whose Python path lacks it; once per context."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (os.getcwd() == root and spark.sparkContext.master.startswith("local")):
+        return
+    name = f"cellweave-{spark.sparkContext.applicationId}.zip"
+    if any(str(f).endswith(name) for f in spark.sparkContext.listFiles):
+        return
+    path = os.path.join(local_folder(spark) or tempfile.mkdtemp(prefix="cellweave-"), name)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    spark.sparkContext.addPyFile(path)

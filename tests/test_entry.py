@@ -60,3 +60,10 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(k for k in e.queries() if k[0] == 'p' and k[1].isdigit()), sorted(set(e.oracle_sql()) - set(e.queries())))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert out.stdout.strip() == "['p2_drift', 'p2_found', 'p2_profile'] []"
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path, small):
+    code = f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); print('rows', e.queries()['coo_block_entries'](s, {small!r}).count())"
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "CELLWEAVE_LOCAL_SHARED")}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows" in out.stdout, out.stderr[-2000:]
