@@ -40,13 +40,13 @@ _CHECKED = """WITH chk AS (SELECT o.load_no, o._row_index AS row_index, o.barcod
 
 def _x(spark: SparkSession, d: str) -> DataFrame:
     """Rows are suppliers, columns parts, values summed quantities."""
-    lines = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row_id"), F.col("l_partkey").cast("int").alias("col_id"), F.col("l_quantity").cast("long").alias("val"))
+    lines = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").cast("long").alias("val"))
     return matrix.sum_duplicates(lines)
 
 
 def _var(spark: SparkSession, d: str) -> DataFrame:
     """Columns with names: one for each part."""
-    return _table(spark, d, "part").select(F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("gene"), F.col("p_partkey").cast("int").alias("col_id"))
+    return _table(spark, d, "part").select(F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("gene"), F.col("p_partkey").alias("col_id"))
 
 
 def _obs(spark: SparkSession, d: str) -> DataFrame:
@@ -82,8 +82,15 @@ def row_packed_arrays(spark, d):
     return matrix.unpack(matrix.pack(matrix.select_ids(_x(spark, d), [2, 4]), matrix.id_table(spark, [2, 4])))
 
 
+def _named(spark, d, condition):
+    """Entries of the columns whose names are asked for: names become positions first, and those reach the scan."""
+    wanted = _var(spark, d).where(condition)
+    positions = sorted(r["col_id"] for r in wanted.collect())  # as many as are asked for
+    return matrix.select_ids(_x(spark, d), positions, "col_id").join(F.broadcast(wanted), "col_id").select("row_id", "gene", "val")
+
+
 def col_by_name(spark, d):
-    return _x(spark, d).join(F.broadcast(_var(spark, d).where("gene = 'P000042'")), "col_id").select("row_id", "gene", "val")
+    return _named(spark, d, "gene = 'P000042'")
 
 
 def col_list(spark, d):
@@ -91,8 +98,7 @@ def col_list(spark, d):
 
 
 def col_name_slice(spark, d):
-    wanted = _var(spark, d).where(F.col("gene").between("P000010", "P000015"))
-    return _x(spark, d).join(F.broadcast(wanted), "col_id").select("row_id", "gene", "val")
+    return _named(spark, d, "gene BETWEEN 'P000010' AND 'P000015'")
 
 
 def col_kept_cells(spark, d):
@@ -160,7 +166,7 @@ def _target(spark, d):
 
 def _by_source(spark, d):
     """Three sources (by return flag) of one matrix each."""
-    lines = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_suppkey").alias("row_id"), F.col("l_partkey").cast("int").alias("col_id"), F.col("l_quantity").cast("long").alias("val"))
+    lines = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("source"), F.col("l_suppkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").cast("long").alias("val"))
     return lines.groupBy("source", "row_id", "col_id").agg(F.sum("val").alias("val"))
 
 
@@ -301,9 +307,9 @@ _CORE = (
     chunk_coordinates, category_decode, memory_estimate_rows, memory_estimate_cols, memory_estimate_all, random_rows_count, event_matrix_stats, dense_rows,
 )
 
-_X = "x AS (SELECT l_suppkey AS row_id, CAST(l_partkey AS INTEGER) AS col_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2)"
-_VAR = "v AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS gene, CAST(p_partkey AS INTEGER) AS col_id FROM part)"
-_S = "s AS (SELECT l_returnflag AS source, l_suppkey AS row_id, CAST(l_partkey AS INTEGER) AS col_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2, 3)"
+_X = "x AS (SELECT l_suppkey AS row_id, l_partkey AS col_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2)"
+_VAR = "v AS (SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS gene, p_partkey AS col_id FROM part)"
+_S = "s AS (SELECT l_returnflag AS source, l_suppkey AS row_id, l_partkey AS col_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2, 3)"
 _ROWS = "r AS (SELECT row_id, count(*) AS nnz, CAST(sum(val) AS DOUBLE) AS total FROM x GROUP BY 1)"
 _TARGET = "own AS (SELECT gene, col_id FROM v WHERE col_id % 3 = 0), t AS (SELECT gene, CAST(row_number() OVER (ORDER BY col_id DESC) - 1 AS INTEGER) AS new_col FROM own UNION ALL SELECT 'P_NONE', CAST(count(*) AS INTEGER) FROM own)"
 _OA = "a AS (SELECT s_name AS name, CAST(s_nationkey AS BIGINT) AS nation, s_acctbal AS balance, 'supplier' AS _source_file FROM supplier), b AS (SELECT c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment, 'customer' AS _source_file FROM customer)"

@@ -67,3 +67,9 @@ def test_workers_find_the_package_from_anywhere(tmp_path, small):
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "CELLWEAVE_LOCAL_SHARED")}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "rows" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("name,pushed", [("row_slice", "GreaterThanOrEqual(l_suppkey"), ("row_list", "In(l_suppkey"), ("col_list", "In(l_partkey"), ("col_by_name", "l_partkey,42"), ("row_long_list", "GreaterThanOrEqual(l_suppkey")])
+def test_selections_reach_the_scan(spark, small, name, pushed):
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan.split("PushedFilters: ", 1)[1].split("ReadSchema")[0] and "l_shipdate" not in plan
