@@ -234,3 +234,47 @@ def test_all_zero_matrix(spark, tmp_path):
     pipeline.build_from_mtx(spark, str(p), str(tmp_path / "ds"))
     ds = Dataset(spark, str(tmp_path / "ds"))
     assert ds.rows_csr([0, 2]).toarray().tolist() == [[0, 0], [0, 0]] and ds.columns_csr([1]).shape == (1, 3)
+
+
+def test_odd_sources(tmp_path):
+    x = np.array([[1.0, 0.0], [0.0, 2.0]])
+    make_zarr(str(tmp_path / "uneven.zarr"), x, ["A", "B"], {"barcode": ["a", "b"], "short": np.arange(1)})
+    with pytest.raises(ValueError, match="differ in length"):
+        ZarrSource(str(tmp_path / "uneven.zarr")).obs_types()
+    make_zarr(str(tmp_path / "bare.zarr"), x, ["A", "B"], {})
+    with pytest.raises(ValueError, match="no readable obs"):
+        ZarrSource(str(tmp_path / "bare.zarr")).obs_types()
+    make_zarr(str(tmp_path / "cat.zarr"), x, ["A"], {"n": np.arange(2), "_index": ["x", "y"]}, "gzip")
+    import shutil
+
+    shutil.rmtree(tmp_path / "cat.zarr" / "var" / "gene")
+    zarr2.write_group(str(tmp_path / "cat.zarr" / "var" / "gene"))
+    zarr2.write_array(str(tmp_path / "cat.zarr" / "var" / "gene" / "codes"), np.array([1, 0], "<i1"))
+    zarr2.write_array(str(tmp_path / "cat.zarr" / "var" / "gene" / "categories"), np.array(["G1", "G2"], object))
+    source = ZarrSource(str(tmp_path / "cat.zarr"))
+    assert source.genes() == ["G2", "G1"] and list(source.obs_types()) == ["n"]
+    report = check.check_directory(str(tmp_path))
+    assert report.without_barcode == ["cat.zarr"] and len([m for m in report.messages if "obs" in m]) == 2
+    (tmp_path / "x.h5ad").write_bytes(b"no")
+    assert any("x.h5ad" in m for m in check.check_directory(str(tmp_path)).messages)
+
+
+def test_older_manifests(tmp_path):
+    (tmp_path / "m.json").write_text('{"mtx_files": [{"zarr_files": [{"zarr_file": "a.zarr"}]}, {"source_files": [{"file": "a.zarr"}, {"file": "b.h5"}]}]}')
+    assert [s["file"] for s in pipeline.read_manifest(str(tmp_path / "m.json"))] == ["a.zarr", "b.h5"]
+
+
+def test_failed_build_resumes_only_with_the_same_inputs(spark, sources, tmp_path, monkeypatch):
+    out = str(tmp_path / "ds")
+
+    def broken(*a, **k):
+        raise RuntimeError("later")
+
+    with monkeypatch.context() as m:
+        m.setattr(pipeline.store, "write_store", broken)
+        with pytest.raises(RuntimeError):
+            pipeline.build_dataset(spark, sources[0], out, GENES, max_rows=8, max_columns=2)
+    stages = [n for n in os.listdir(out) if n.startswith("_stage")]
+    assert len(stages) == 1 and os.path.isfile(os.path.join(out, stages[0], "_SUCCESS"))
+    meta = pipeline.build_dataset(spark, sources[0], out, GENES[:3], max_rows=8, max_columns=2, min_nnz=0, cleanup=False)
+    assert meta["shape"] == [32, 3] and meta["kept_rows"] == 32 and len([n for n in os.listdir(out) if n.startswith("_stage")]) == 2
