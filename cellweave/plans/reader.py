@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +44,15 @@ class Csr:
         return out
 
 
-def to_csr(rows: pd.DataFrame, ids: list[int], ncols: int, key: str, other: str) -> Csr:
+def to_csr(rows: pa.Table, ids: list[int], ncols: int, key: str, other: str) -> Csr:
     """Entries on the driver as a matrix whose rows are ``ids`` in order; repeated coordinates add up."""
-    place = np.searchsorted(np.asarray(ids, np.int64), rows[key].to_numpy(np.int64)) if len(ids) else np.zeros(0, np.int64)
-    code, at = np.unique(place * max(ncols, 1) + rows[other].to_numpy(np.int64), return_inverse=True)
-    data = np.bincount(at, rows["val"].to_numpy(np.float64), len(code)) if len(code) else np.zeros(0)
-    indptr = np.concatenate(([0], np.cumsum(np.bincount(code // max(ncols, 1), minlength=len(ids)))))
-    return Csr(data, code % max(ncols, 1), indptr, (len(ids), ncols))
+    width = max(ncols, 1)
+    own, across, val = (rows.column(c).to_numpy() for c in (key, other, "val"))
+    place = np.searchsorted(np.asarray(ids, np.int64), own) if len(ids) else np.zeros(0, np.int64)
+    code, at = np.unique(place * width + across, return_inverse=True)
+    data = np.bincount(at, val.astype(np.float64), len(code)) if len(code) else np.zeros(0)
+    indptr = np.concatenate(([0], np.cumsum(np.bincount(code // width, minlength=len(ids)))))
+    return Csr(data, code % width, indptr, (len(ids), ncols))
 
 
 @dataclass
@@ -68,9 +71,8 @@ class Selection:
     col_ids: list[int] | None = None
 
     def csr(self) -> Csr:
-        rows = self.x.toPandas()
         if self.row_ids is not None:
-            return to_csr(rows, self.row_ids, self.shape[1], "row_id", "col_id")
+            return to_csr(self.x.toArrow(), self.row_ids, self.shape[1], "row_id", "col_id")
         raise ValueError("a column selection is read with Dataset.columns_csr")
 
     def to_anndata(self):
@@ -130,6 +132,7 @@ class Dataset:
         self.obs_table = spark.read.parquet(os.path.join(path, self.meta["obs"]))
         self.var_table = spark.read.parquet(os.path.join(path, self.meta["var"]))
         self._names: list[str] | None = None
+        self._parts: dict[str, DataFrame] = {}
 
     shape = property(lambda self: tuple(self.meta["shape"]))
     num_rows = property(lambda self: self.meta["shape"][0])
@@ -159,14 +162,20 @@ class Dataset:
             raise ValueError("no column is selected")
         return ids
 
+    def _part(self, name: str) -> DataFrame:
+        """A layout, whose directories are listed once."""
+        if name not in self._parts:
+            self._parts[name] = store.read_part(self.spark, self.path, name)
+        return self._parts[name]
+
     def row_entries(self, ids: list[int]) -> DataFrame:
-        x = store.read_part(self.spark, self.path, "x_rm")
+        x = self._part("x_rm")
         return matrix.select_ids(x, ids, "row_id", ("row_chunk", self.meta["max_rows_per_chunk"])).drop("row_chunk")
 
     def col_entries(self, ids: list[int]) -> DataFrame:
         if not self.meta.get("columns_too"):
             raise FileNotFoundError(f"{self.path} has no column layout")
-        x = store.read_part(self.spark, self.path, "x_cm")
+        x = self._part("x_cm")
         return matrix.select_ids(x, ids, "col_id", ("col_chunk", self.meta["max_columns_per_chunk"])).drop("col_chunk")
 
     def read_rows(self, index: Any) -> DataFrame:
@@ -211,20 +220,24 @@ class Dataset:
     # --- local results --------------------------------------------------------------------
     def rows_csr(self, index: Any) -> Csr:
         ids = self.row_ids(index)
-        return to_csr(self._local(self.row_entries(ids), len(ids)), ids, self.num_columns, "row_id", "col_id")
+        return to_csr(self._local(self.row_entries(ids), len(ids), self.num_columns), ids, self.num_columns, "row_id", "col_id")
 
     def columns_csr(self, index: Any) -> Csr:
         """Genes as rows, cells as columns."""
         ids = self.col_ids(index)
-        return to_csr(self._local(self.col_entries(ids), len(ids)), ids, self.num_rows, "col_id", "row_id")
+        return to_csr(self._local(self.col_entries(ids), len(ids), self.num_rows), ids, self.num_rows, "col_id", "row_id")
 
-    def _local(self, x: DataFrame, k: int) -> pd.DataFrame:
+    def _local(self, x: DataFrame, k: int, width: int) -> pa.Table:
         """The entries on the driver, if the memory guard lets them."""
-        self._guard(x, k)
-        return (x.coalesce(settings.max_workers) if settings.max_workers else x).toPandas()
+        self._guard(x, k, width)
+        return (x.coalesce(settings.max_workers) if settings.max_workers else x).toArrow()
 
-    def _guard(self, x: DataFrame, k: int) -> None:
-        need, free = matrix.memory_estimate(x.count(), k)["bytes"], available_memory()
+    def _guard(self, x: DataFrame, k: int, width: int) -> None:
+        """MemoryError for more than the free memory allows; entries are counted only if even full rows might not fit."""
+        free = available_memory()
+        if matrix.memory_estimate(k * width, k)["bytes"] <= MEMORY_SHARE * free:
+            return
+        need = matrix.memory_estimate(x.count(), k)["bytes"]
         if need <= MEMORY_SHARE * free:
             return
         text = f"the result takes about {need / 1e9:.1f} GB, {free / 1e9:.1f} GB are free"

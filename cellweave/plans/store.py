@@ -76,6 +76,7 @@ def write_store(
         shutil.rmtree(os.path.join(path, part), ignore_errors=True)
     os.makedirs(path, exist_ok=True)
     spark = x.sparkSession
+    x = x.select(F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("int").alias("col_id"), F.col("val").cast("int").alias("val"))
     write_rows(x, os.path.join(path, "x_rm"), max_rows)
     rows = spark.read.schema("row_id long, col_id int, val int, row_chunk int").parquet(os.path.join(path, "x_rm"))
     if columns_too:
