@@ -7,8 +7,9 @@ on either side. Expectation-maximisation over the vote patterns estimates how re
 labeler is, without any labelled data; the posteriors train one logistic span classifier per
 kind over votes, neighbouring words and shape, which takes the decision.
 
-Gazetteers, reliabilities and classifiers are fitted on at most ``FIT_DOCUMENTS`` documents
-chosen by hash of their id; the fitted model has a fixed bound in size and is applied to every
+Gazetteers are counted over all documents; a title or role raises a candidate also where no
+gazetteer has the name. Reliabilities and classifiers are fitted on at most ``FIT_DOCUMENTS``
+documents chosen by hash of their id; the fitted model has a fixed bound in size and is applied to every
 document. Null, empty and blank texts have no findings.
 """
 
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.session import cut
+
 #: Most documents that the model is fitted on.
 FIT_DOCUMENTS = 3_000
 #: Most entries of each gazetteer.
@@ -102,6 +105,7 @@ _ROLE_RIGHT = re.compile(
     r"(?:,? (?:Claimant|Respondent|Applicant|Registrar|presiding judge|Judge|Demandeu|Défendeu|Kläger|Beklagt|président|Vorsitz|demeurant|wohnhaft|appearing for|who kept|had held|of \d)|"
     r" (?:did not|submits|stated|conceded|resides|was authorised|is ordered|soutient|a déclaré|a reconnu|par acte|trägt vor|hat ausgesagt|gemäß Vollmacht|has|had|kept)|['’]s account|, man habe)"
 )
+_ROLED = re.compile(rf"{_ROLE_LEFT.pattern[:-1]}(?:{_PARTICLE} |[{_U}]\. )?([{_U}][\w'’]+)")
 _CASE_RIGHT = re.compile(r" (?:v\.?|vs\.?) [\w\[(█]")
 _FIRM_RIGHT = re.compile(
     rf"(?: (?:and|&|et|und) (?:Sons?|Fils|Söhne|Partners|Co)\b| & [{_U}]|(?: [{_U}][\w-]+)? (?:Estates?|Holdings?|Foundry|Textiles|Logistics|Dair(?:y|ies)|Marine|Mutual|Freight|Glassworks|Ltd|plc|PLC|SA|S\.A\.|GmbH|AG|SARL|LLP|Inc|Bank|Trust|Works|Mills?|Brothers|Partners)\b)"
@@ -185,25 +189,59 @@ class Gazetteers:
         return low in self.given or (len(low) > 3 and low not in self.towns and self._made(low, self.given_parts))
 
 
-def gather_gazetteers(texts: list[str]) -> Gazetteers:
-    surnames: Counter = Counter()
-    given: Counter = Counter()
-    towns: Counter = Counter()
+def _bare(part: str) -> str:
+    return re.sub(r"^(?:mac|mc|o'|d')", "", part)
+
+
+def _mentions(texts) -> Counter:
+    """How often each (kind, word, surname) stands in sure contexts: titled surnames, towns, and given names of signed full names."""
+    seen: Counter = Counter()
     for text in texts:
         for m in _TITLED.finditer(text):
             for part in m.group(1).lower().replace("’", "'").split("-"):
-                bare = re.sub(r"^(?:mac|mc|o'|d')", "", part)
+                bare = _bare(part)
                 if len(set(bare)) > 2:  # not a blackened name
-                    surnames[bare] += 1
-        towns.update(t.lower() for t in _TOWN.findall(text))
-    sure = {s for s, n in surnames.items()}
-    for text in texts:
+                    seen["surname", bare, ""] += 1
+        seen.update(("town", t.lower(), "") for t in _TOWN.findall(text))
         for m in _SIGNED.finditer(text):
-            last = [re.sub(r"^(?:mac|mc|o'|d')", "", p) for p in m.group(3).lower().split("-")]
-            if all(p in sure for p in last) and len(m.group(1)) > 1:
-                given[m.group(1).lower()] += 1
-    frequent = Counter({g: n for g, n in given.items() if n > 1}) or given
-    return Gazetteers(Counter({s: n for s, n in surnames.items() if n > 1 or len(texts) < 500}), frequent, towns)
+            if len(m.group(1)) > 1:
+                seen["given", m.group(1).lower(), "-".join(_bare(p) for p in m.group(3).lower().split("-"))] += 1
+    return seen
+
+
+def _gazetteers(surnames: Counter, given: Counter, towns: Counter) -> Gazetteers:
+    return Gazetteers(surnames, Counter({g: n for g, n in given.items() if n > 1}) or given, towns)
+
+
+def gather_gazetteers(texts: list[str]) -> Gazetteers:
+    seen = _mentions(texts)
+    surnames, towns = (Counter({w: n for (k, w, _), n in seen.items() if k == kind}) for kind in ("surname", "town"))
+    given: Counter = Counter()
+    for (kind, word, last), n in seen.items():
+        if kind == "given" and all(p in surnames for p in last.split("-")):
+            given[word] += n
+    return _gazetteers(surnames, given, towns)
+
+
+def corpus_gazetteers(docs: DataFrame, column: str = "text") -> Gazetteers:
+    """Gazetteers of all documents: mentions are counted where the texts are; at most ``GAZETTEER`` entries of each list come here."""
+
+    def run(batches):
+        for batch in batches:
+            seen = _mentions(" ".join(t.split()) for t in batch.column(0).to_pylist() if t and t.strip())
+            parts = [*zip(*seen)] or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in parts), pa.array(seen.values(), pa.int64())], ["kind", "word", "last", "n"])
+
+    seen = cut(docs.select(column).mapInArrow(run, "kind string, word string, last string, n long").groupBy("kind", "word", "last").agg(F.sum("n").alias("n")))
+
+    def most(rows: DataFrame) -> Counter:
+        return Counter({r["word"]: r["n"] for r in rows.select("word", "n").orderBy(F.desc("n"), "word").limit(GAZETTEER).collect()})
+
+    surnames = seen.where("kind = 'surname'")
+    signed = seen.where("kind = 'given'")
+    unsure = signed.select("word", "last", F.explode(F.split("last", "-")).alias("part")).join(surnames.select(F.col("word").alias("part")), "part", "left_anti").select("word", "last").distinct()
+    given = signed.join(unsure, ["word", "last"], "left_anti").groupBy("word").agg(F.sum("n").alias("n"))
+    return _gazetteers(most(surnames), most(given), most(seen.where("kind = 'town'")))
 
 
 class Candidate:
@@ -325,6 +363,7 @@ def _addresses(text: str) -> list[Candidate]:
 
 def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]], decisive: frozenset = frozenset()) -> list[Candidate]:
     memo = g.memo
+    given = g.given_memo
     anchors, at = [], 0
     for w in [w for w in _WORD.findall(text) if memo[w]]:  # words in their order; most are none
         at = text.find(w, at)
@@ -332,12 +371,20 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]], decisive: fro
             at = text.find(w, at + 1)
         anchors.append((at, at + len(w), w))
         at += len(w)
+    known = {s for s, _, _ in anchors}
+    for m in [*_TITLED.finditer(text), *_ROLED.finditer(text)]:  # names on no list
+        w = _WORD.match(text, m.start(1))
+        if m.re is _ROLED and w and given[w.group()]:
+            w = _WORD.match(text, w.end() + 1) if text[w.end() : w.end() + 1] == " " and text[w.end() + 1 : w.end() + 2].isupper() else None
+        if w and w.start() not in known and len(set(w.group().lower())) > 2 and (m.re is _TITLED or w.group().lower() not in g.towns):
+            known.add(w.start())
+            anchors.append((*w.span(), w.group()))
+    anchors.sort()
     if not anchors:
         return []
     starts = [t[0] for t in taken]
     rough = []
     people: dict[str, set[str]] = {}
-    given = g.given_memo
     sure = {k: ("name", k) in decisive for k in ("case", "firm", "place")}
     done = -1
     for s, e, word in anchors:
@@ -488,10 +535,10 @@ class Model:
         return [c for c in candidates(text, self.gazetteers, self.decisive) if self.accept(c)]
 
 
-def fit(texts: list[str], steps: int = 400) -> Model:
-    """Gazetteers, labeler reliabilities by EM, and the classifiers trained on the posteriors."""
+def fit(texts: list[str], steps: int = 400, gazetteers: Gazetteers | None = None) -> Model:
+    """Gazetteers (of the texts unless given), labeler reliabilities by EM, and the classifiers trained on the posteriors."""
     texts = [" ".join(t.split()) for t in texts if t and t.strip()]
-    g = gather_gazetteers(texts)
+    g = gazetteers or gather_gazetteers(texts)
     seen: Counter = Counter()
     for t in texts:
         seen.update((c.kind, c.votes, c.features) for c in candidates(t, g))
@@ -531,13 +578,13 @@ def fit(texts: list[str], steps: int = 400) -> Model:
 
 
 def fit_on(docs: DataFrame, key: str = "doc_id", column: str = "text", most: int = FIT_DOCUMENTS) -> Model:
-    """Fit on the documents whose hashed id is lowest, about ``most`` and never more; the same ones each time."""
+    """Fit on the documents whose hashed id is lowest, about ``most`` and never more, with the gazetteers of all; the same ones each time."""
     total = docs.count()
     code = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(2**32))
     rows = docs.where(F.col(column).isNotNull()).select(code.alias("code"), key, column)
     if total > most:
         rows = rows.where(F.col("code") < int(2**32 * 0.95 * most / total))
-    return fit([r[2] for r in rows.orderBy("code", key).limit(most).collect()])
+    return fit([r[2] for r in rows.orderBy("code", key).limit(most).collect()], gazetteers=corpus_gazetteers(docs, column))
 
 
 def find(docs: DataFrame, model: Model | None = None, key: str = "doc_id", column: str = "text") -> DataFrame:

@@ -93,3 +93,14 @@ def test_em_trusts_labelers_that_agree():
     patterns = Counter({(1, 1, 0): 500, (1, 0, 0): 100, (0, 0, -1): 400, (1, 0, -1): 30})
     right, post = pii.fit_reliabilities("email", patterns)
     assert post[1, 1, 0] > 0.95 and post[0, 0, -1] < 0.05 and post[1, 0, -1] < 0.5 and ((right >= 0.5) & (right < 1)).all()
+
+
+def test_names_that_the_sample_lacks(spark, model):
+    assert ("name", "Xyqwolt") in found(model, "Mr Xyqwolt did not attend the hearing")
+    assert ("name", "Yakko Xyqwolt") in found(model, "The witness Yakko Xyqwolt stated that")
+    rows = [(i, text(i)) for i in range(60)] + [(100 + i, "Frau Jbrandwik hat ausgesagt." if i == 7 else "Nothing of note.") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = pii.corpus_gazetteers(df)
+    one = pii.gather_gazetteers([" ".join(t.split()) for _, t in rows])
+    assert "jbrandwik" in whole.surnames and (whole.surnames, whole.given, whole.towns) == (one.surnames, one.given, one.towns)
+    assert "jbrandwik" in pii.fit_on(df, most=5).gazetteers.surnames
