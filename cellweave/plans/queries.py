@@ -252,6 +252,32 @@ def in_shape_entries(spark, d):
     return matrix.in_shape(_x(spark, d), 8, 100)
 
 
+def transpose_whole(spark, d):
+    return matrix.transpose(_x(spark, d))
+
+
+def row_packed_arrays_whole(spark, d):
+    x = _x(spark, d)
+    return matrix.unpack(matrix.pack(x, x.select("row_id").distinct()))
+
+
+def vstack_whole(spark, d):
+    n = _table(spark, d, "supplier").count()
+    x = _x(spark, d)
+    return matrix.vstack([(x, n), (x, n)])
+
+
+def hstack_whole(spark, d):
+    n = _table(spark, d, "part").count()
+    x = _x(spark, d)
+    return matrix.hstack([(x, n), (x, n)]).select("row_id", F.col("col_id").cast("long").alias("col_id"), "val")
+
+
+def in_shape_whole(spark, d):
+    """Within the shape of the tables less one: the greatest numbers lie outside."""
+    return matrix.in_shape(_x(spark, d), _table(spark, d, "supplier").count() - 1, _table(spark, d, "part").count() - 1)
+
+
 def chunk_stats(spark, d):
     return matrix.chunk_stats(_x(spark, d), 8)
 
@@ -305,6 +331,7 @@ _CORE = (
     row_nnz, col_nnz, nnz_total, row_qc_metrics, scaling_factors, qc_filter_row_index, obs_positions, align_to_gene_list, missing_genes_zero, gene_dup_last_wins, gene_overlap,
     missing_gene_names, quantise_clamp, obs_outer, obs_inner, obs_columns, obs_column_report, multi_source_row_ids, vstack_rows, hstack_columns, in_shape_entries, chunk_stats,
     chunk_coordinates, category_decode, memory_estimate_rows, memory_estimate_cols, memory_estimate_all, random_rows_count, event_matrix_stats, dense_rows,
+    transpose_whole, row_packed_arrays_whole, vstack_whole, hstack_whole, in_shape_whole,
 )
 
 _X = "x AS (SELECT l_suppkey AS row_id, l_partkey AS col_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2)"
@@ -361,6 +388,11 @@ SELECT dataset, coalesce(string_agg(c, ', ' ORDER BY c) FILTER (WHERE common), '
     "memory_estimate_cols": f"WITH {_X} SELECT count(*) AS nnz, count(*) * 12 + 16 AS bytes FROM x WHERE col_id IN (1, 17, 42)",
     "memory_estimate_all": f"WITH {_X} SELECT count(*) AS nnz, count(*) * 12 + ((SELECT count(*) FROM supplier) + 1) * 4 AS bytes FROM x",
     "event_matrix_stats": "SELECT event_type AS gene, count(*) AS nnz, CAST(sum(val) AS BIGINT) AS total FROM (SELECT user_id, event_type, count(*) AS val FROM events GROUP BY 1, 2) GROUP BY 1",
+    "transpose_whole": f"WITH {_X} SELECT col_id AS row_id, row_id AS col_id, val FROM x",
+    "row_packed_arrays_whole": f"WITH {_X} SELECT * FROM x",
+    "vstack_whole": f"WITH {_X} SELECT row_id, col_id, val FROM x UNION ALL SELECT row_id + (SELECT count(*) FROM supplier), col_id, val FROM x",
+    "hstack_whole": f"WITH {_X} SELECT row_id, col_id, val FROM x UNION ALL SELECT row_id, col_id + (SELECT count(*) FROM part), val FROM x",
+    "in_shape_whole": f"WITH {_X} SELECT * FROM x WHERE row_id < (SELECT count(*) - 1 FROM supplier) AND col_id < (SELECT count(*) - 1 FROM part)",
     "dense_rows": "SELECT CAST(i AS INTEGER) AS col_id, count(*) AS nnz FROM (SELECT unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1",
 }
 
