@@ -201,6 +201,7 @@ def export_blocks(spark: SparkSession, dataset: str, target: str, block_rows: in
     def write(key, table):
         chunk = key[0].as_py()
         first = chunk * size
+        table = table.filter(table.column("row_id").is_valid())
         row, col, val = (table.column(c).to_numpy() for c in ("row_id", "col_id", "val"))
         order = np.lexsort((col, row))
         n = min(size, nrows - first)
@@ -209,5 +210,7 @@ def export_blocks(spark: SparkSession, dataset: str, target: str, block_rows: in
         return pa.table({"chunk": pa.array([chunk], pa.int32()), "blocks": pa.array([blocks], pa.int32())})
 
     write.__annotations__ = {"key": tuple[pa.Scalar, ...], "table": pa.Table, "return": pa.Table}
-    x = store.read_part(spark, dataset, "x_rm")
+    # one row without entry for each chunk, so that chunks without entries are written too
+    chunks = spark.range(meta["num_chunks_rm"]).select(F.lit(None).cast("long").alias("row_id"), F.lit(None).cast("int").alias("col_id"), F.lit(None).cast("int").alias("val"), F.col("id").cast("int").alias("row_chunk"))
+    x = store.read_part(spark, dataset, "x_rm").select("row_id", "col_id", "val", "row_chunk").unionByName(chunks)
     return x.groupBy("row_chunk").applyInArrow(write, "chunk int, blocks int").agg(F.count(F.lit(1))).collect()[0][0]

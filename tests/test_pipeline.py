@@ -166,6 +166,16 @@ def test_block_files_round_trip(spark, built, tmp_path):
         blockfile.parse(b"\0" * 32)
 
 
+def test_chunks_without_entries_are_exported(spark, tmp_path):
+    x = spark.createDataFrame([(0, 1, 5), (9, 0, 2)], "row_id long, col_id int, val int")
+    meta = {"shape": [12, 3], "max_rows_per_chunk": 4, "num_chunks_rm": 3, "block_rows": 2}
+    x.selectExpr("*", "cast(row_id div 4 as int) as row_chunk").write.partitionBy("row_chunk").parquet(str(tmp_path / "x_rm"))
+    store.write_meta(str(tmp_path), meta)
+    assert pipeline.export_blocks(spark, str(tmp_path), str(tmp_path / "bin")) == 3
+    read = blockfile.read_blocks(spark, sorted(str(p) for p in (tmp_path / "bin").iterdir()))
+    assert read.selectExpr("sum(nrows_in_block)").collect()[0][0] == 12
+
+
 def test_obs_strategies(spark, sources):
     src = discover(sources[0])
     x, offsets, sizes = pipeline.align_sources(spark, src, GENES, 10)
