@@ -27,11 +27,12 @@ def _one(x: Any, n: int, what: str) -> int:
     return k + n if k < 0 else k
 
 
-def _range(s: slice, n: int) -> list[int]:
+def _range(s: slice, n: int) -> range:
+    """A slice as a range: nothing is laid out, whatever its length."""
     if s.step not in (None, 1):
         raise ValueError("Step slicing is not supported; use a list of positions")
     start, stop, _ = slice(s.start, s.stop).indices(n)
-    return list(range(start, stop))
+    return range(start, stop)
 
 
 def _many(values: Iterable, n: int, what: str) -> list[int]:
@@ -51,8 +52,8 @@ def _many(values: Iterable, n: int, what: str) -> list[int]:
     return sorted({_one(v, n, what) for v in array.tolist()})
 
 
-def normalize_row_indices(index: Any, nrows: int) -> list[int]:
-    """Sorted distinct positions of an integer, a slice, a boolean mask or a sequence of integers.
+def normalize_row_indices(index: Any, nrows: int) -> Sequence[int]:
+    """Sorted distinct positions of an integer, a slice (a range), a boolean mask or a sequence of integers.
 
     Negative positions count from the end. A mask must have one value per row. Fractions
     and other types are a TypeError, positions outside an IndexError, steps a ValueError.
@@ -84,7 +85,7 @@ def _bound(x: Any, at: dict[str, int] | None, n: int, stop: bool) -> Any:
     return at[x] + (1 if stop else 0)
 
 
-def normalize_column_indices(index: Any, ncols: int, gene_names: Sequence[str] | None = None) -> list[int]:
+def normalize_column_indices(index: Any, ncols: int, gene_names: Sequence[str] | None = None) -> Sequence[int]:
     """Like rows, and names: one, a sequence, or as bounds of a slice, whose stop is then included."""
     at = None if gene_names is None else name_positions(list(gene_names))
     if isinstance(index, slice):
@@ -107,6 +108,8 @@ def normalize_column_indices(index: Any, ncols: int, gene_names: Sequence[str] |
 
 
 def _validate(indices: Iterable[int], n: int, what: str) -> None:
+    if isinstance(indices, range) and len(indices):
+        indices = (indices[0], indices[-1])
     for k in indices:
         if not 0 <= k < n:
             raise IndexError(f"{what} index {k} is out of bounds for {n} {what}s")

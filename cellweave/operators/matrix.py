@@ -18,11 +18,39 @@ def runs(ids: Sequence[int]) -> list[tuple[int, int]]:
     """Sorted positions as runs (first, last) of neighbours."""
     if not len(ids):
         return []
+    if isinstance(ids, range):
+        return [(ids[0], ids[-1])]
     a = np.asarray(ids)
     cuts = np.flatnonzero(np.diff(a) != 1)
     return list(zip(a[np.concatenate(([0], cuts + 1))].tolist(), a[np.concatenate((cuts, [len(a) - 1]))].tolist()))
 
 
+def _chunk_runs(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Runs of the chunk numbers that sorted runs of positions lie in."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in spans:
+        lo, hi = lo // size, hi // size
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _among(column: F.Column, spans: list[tuple[int, int]], most: int = 1_000) -> F.Column:
+    """Is the column within one of the runs? Beyond ``most`` runs the nearest ones are taken together, so it says yes too often, never too rarely."""
+    if len(spans) > most:
+        gaps = np.array([b[0] - a[1] for a, b in zip(spans, spans[1:])])
+        keep = np.sort(np.argsort(-gaps, kind="stable")[: most - 1])
+        starts, ends = [0, *(keep + 1)], [*keep, len(spans) - 1]
+        spans = [(spans[a][0], spans[b][1]) for a, b in zip(starts, ends)]
+    single = [lo for lo, hi in spans if lo == hi]
+    tests = ([column.isin(single)] if len(single) > 1 or (single and len(spans) == 1) else [column == single[0]] if single else []) + [column.between(lo, hi) for lo, hi in spans if lo != hi]
+    while len(tests) > 1:  # a balanced tree of ORs: deep ones overflow the planner
+        tests = [tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i] for i in range(0, len(tests), 2)]
+    return tests[0]
+
+
 def id_table(spark: SparkSession, ids: Sequence[int], name: str = "row_id", kind: str = "bigint") -> DataFrame:
     """The positions asked for as a table; long lists come from ranges, not from literals."""
     spans = runs(ids)
@@ -48,9 +76,7 @@ def select_ids(x: DataFrame, ids: Sequence[int], name: str = "row_id", chunk: tu
     out = x
     if chunk:
         column, size = chunk
-        numbers = sorted({c for lo, hi in spans for c in range(lo // size, hi // size + 1)})
-        crossing = runs(numbers)
-        out = out.where(F.col(column).between(*crossing[0]) if len(crossing) == 1 else F.col(column).isin(numbers)) if len(numbers) <= 10_000 else out
+        out = out.where(_among(F.col(column), _chunk_runs(spans, size)))
     if len(spans) == 1:
         return out.where(F.col(name).between(*spans[0]))
     if len(ids) <= IN_LIST:
