@@ -67,9 +67,9 @@ class Settings:
             option.value = option.accept(option.parse(text))
         self._options[name] = option
 
-    def deprecate(self, name: str, message: str = "") -> None:
-        """Setting or reading the option warns from now on."""
-        self._of(name).deprecated = message or f"option {name!r} is deprecated"
+    def deprecate(self, name: str, message: str = "", removal_version: str | None = None) -> None:
+        """Setting or reading the option warns from now on, and says when it will go."""
+        self._of(name).deprecated = (message or f"option {name!r} is deprecated") + (f"; it will be removed in version {removal_version}" if removal_version else "")
 
     def describe(self, names: str | Iterable[str] | None = None) -> str:
         chosen = [names] if isinstance(names, str) else sorted(self._options) if names is None else list(names)

@@ -48,12 +48,6 @@ def joined_sorted(names: Column, separator: str = ", ") -> Column:
     return F.coalesce(F.array_join(F.array_sort(names), separator), F.lit(""))
 
 
-def first_number(name: str) -> int:
-    """First run of digits of a file name, -1 without one; ``rows_131072_…`` sorts by it."""
-    m = re.search(r"\d+", os.path.basename(name))
-    return int(m.group(0)) if m else -1
-
-
 def natural(names: list[str]) -> list[str]:
     """Names ordered by their numbers rather than letter by letter."""
     return sorted(names, key=lambda n: ([int(x) for x in re.findall(r"\d+", os.path.basename(n))], n))

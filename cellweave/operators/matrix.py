@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.config import settings
+from cellweave.functions.scalars import size_units
 
 #: Positions up to which a list is written into the filter; Parquet pushes down as many.
 IN_LIST = 10
@@ -37,7 +38,7 @@ def _chunk_runs(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]
     return out
 
 
-def _among(column: F.Column, spans: list[tuple[int, int]], most: int = 1_000) -> F.Column:
+def among(column: F.Column, spans: list[tuple[int, int]], most: int = 1_000) -> F.Column:
     """Is the column within one of the runs? Beyond ``most`` runs the nearest ones are taken together, so it says yes too often, never too rarely."""
     if len(spans) > most:
         gaps = np.array([b[0] - a[1] for a, b in zip(spans, spans[1:])])
@@ -76,7 +77,7 @@ def select_ids(x: DataFrame, ids: Sequence[int], name: str = "row_id", chunk: tu
     out = x
     if chunk:
         column, size = chunk
-        out = out.where(_among(F.col(column), _chunk_runs(spans, size)))
+        out = out.where(among(F.col(column), _chunk_runs(spans, size)))
     if len(spans) == 1:
         return out.where(F.col(name).between(*spans[0]))
     if len(ids) <= IN_LIST:
@@ -166,8 +167,7 @@ def random_rows(n: int, nrows: int, seed: int | None = None) -> list[int]:
 
 def memory_estimate(nnz: int, k: int | None = None) -> dict[str, float]:
     """Bytes of a result in compressed sparse form: 12 per entry and, per selection of k, 4 * (k + 1)."""
-    size = 12 * nnz + (4 * (k + 1) if k is not None else 0)
-    return {"nnz": nnz, "bytes": size, "mb": size / 1024**2, "gb": size / 1024**3}
+    return {"nnz": nnz, **size_units(12 * nnz + (4 * (k + 1) if k is not None else 0))}
 
 
 def missing(names: DataFrame, have: DataFrame, on: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.functions.scalars import scaling_factor
+from cellweave.functions.scalars import joined_sorted, scaling_factor
 
 #: Columns that say where a row comes from.
 SOURCE_COLUMNS = ("_source_zarr", "_source_file")
@@ -113,5 +113,5 @@ def column_report_table(listed: DataFrame) -> DataFrame:
     total = distinct.agg(F.count_distinct("dataset").alias("n"))
     counted = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(total), F.lit(True))
     marked = distinct.join(counted.select("column", (F.col("k") == F.col("n")).alias("common")), "column")
-    pick = lambda hit: F.array_join(F.array_sort(F.collect_list(F.when(hit, F.col("column")))), ", ")
+    pick = lambda hit: joined_sorted(F.collect_list(F.when(hit, F.col("column"))))
     return marked.groupBy("dataset").agg(pick(F.col("common")).alias("common_columns"), pick(~F.col("common")).alias("unique_columns"))

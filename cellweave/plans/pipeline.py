@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.config import settings
-from cellweave.functions.scalars import natural, quantise
+from cellweave.functions.scalars import natural, quantise, row_range
 from cellweave.operators import align, matrix
 from cellweave.operators.ids import global_rows, source_offsets
 from cellweave.operators.obs import SOURCE_COLUMNS, kept, with_statistics
@@ -56,6 +56,20 @@ def read_manifest(path: str) -> list[dict[str, Any]]:
     return out
 
 
+def in_manifest(sources: Sequence[Source], path: str) -> list[Source]:
+    """The sources that a manifest names, in their order; others are left out, a named one that is missing is a ValueError."""
+    named = {s["file"] for s in read_manifest(path)}
+    lacking = named - {s.name for s in sources}
+    if lacking:
+        raise ValueError(f"the manifest names sources that are not there: {', '.join(sorted(lacking))}")
+    return [s for s in sources if s.name in named]
+
+
+def rows_in_manifest(rows: DataFrame, entries: DataFrame, on: str = "_source_file") -> DataFrame:
+    """Metadata rows whose source was aligned; ``entries`` has ``file``, one row per source."""
+    return rows.join(F.broadcast(entries.select(F.col("file").alias(on)).distinct()), on, "left_semi")
+
+
 def align_sources(spark: SparkSession, sources: Sequence[Source], genes: Sequence[str], rows_per_task: int = readers.ROWS_PER_TASK) -> tuple[DataFrame, DataFrame, list[int]]:
     """(entries by global row and list column, offsets of the sources, rows of each source), values as in the sources."""
     opened = [open_source(s.path) for s in sources]
@@ -96,7 +110,11 @@ def _policy(types: dict[int, dict[str, pa.DataType]], strategy: str, join_on: Se
 
 def build_obs(spark: SparkSession, sources: Sequence[Source], sizes: Sequence[int], offsets: DataFrame, stats: DataFrame, strategy: str = "outer", join_on: Sequence[str] | None = None) -> DataFrame:
     """All rows' metadata with source columns, statistics and ``_row_index``, nothing filtered yet."""
-    types = {s.number: open_source(s.path).obs_types() for s in sources}
+    opened = {s.number: open_source(s.path) for s in sources}
+    for s, n in zip(sources, sizes):
+        if opened[s.number].n_obs not in (None, n):
+            raise ValueError(f"{s.name} has {n} rows but metadata of {opened[s.number].n_obs}")
+    types = {number: source.obs_types() for number, source in opened.items()}
     columns = _policy(types, strategy, join_on)
     columns = {n: k for n, k in columns.items() if n not in (*SOURCE_COLUMNS, "nnz", "total_counts", "scaling_factor", "_row_index")}
     rows = readers.read_obs(spark, sources, sizes, columns, {n: list(t) for n, t in types.items()})
@@ -125,8 +143,9 @@ def build_dataset(
     min_nnz: int | None = None,
     cleanup: bool = True,
     rows_per_task: int = readers.ROWS_PER_TASK,
+    only: str | None = None,
 ) -> dict[str, Any]:
-    """Align all sources of a directory and write the dataset; returns its description.
+    """Align all sources of a directory (of ``only`` those that this manifest names) and write the dataset; returns its description.
 
     The aligned entries are staged in ``output/_stage-<key>``, where the key stands for the
     sources' names, sizes and times and the gene list: a build that failed later starts from there,
@@ -135,6 +154,8 @@ def build_dataset(
     sources = discover(directory)
     if not sources:
         raise ValueError(f"{directory} holds no Zarr or HDF5 source")
+    if only:
+        sources = [Source(i, s.name, s.path, s.kind) for i, s in enumerate(in_manifest(sources, only))]
     names = readers.read_genes(genes or default_gene_list()) if genes is None or isinstance(genes, str) else [g.strip() for g in genes if g.strip()]
     names = list(dict.fromkeys(reversed(names)))[::-1] if len(set(names)) < len(names) else names
     store.check_parameters(block_rows or settings.block_rows, max_rows or settings.max_rows_per_chunk, max_columns or settings.max_columns_per_chunk)
@@ -153,7 +174,8 @@ def build_dataset(
         meta["kept_rows"] = spark.read.parquet(os.path.join(output, obs_name)).count()
         store.write_meta(output, meta)
         with open(os.path.join(output, "manifest.json"), "w", encoding="utf-8") as f:
-            json.dump({"sources": extra["sources"], "n_genes": len(names)}, f, indent=1)
+            json.dump({"sources": extra["sources"], "n_genes": len(names), "column_nnz_file": "column_nnz.txt"}, f, indent=1)
+        mtx.write_column_counts(var.select(F.col("index").cast("int").alias("col_id"), "nnz"), os.path.join(output, "column_nnz.txt"), len(names))
     except BaseException:
         raise
     else:
@@ -168,6 +190,8 @@ def build_from_mtx(spark: SparkSession, path: str, output: str, genes: Sequence[
     All must have the same number of columns.
     """
     paths = [path] if os.path.isfile(path) else natural([os.path.join(path, n) for n in os.listdir(path) if n.endswith(".mtx")])
+    if len(paths) > 1 and all(row_range(p) for p in paths):
+        paths.sort(key=row_range)
     if not paths:
         raise ValueError(f"{path} holds no .mtx file")
     heads = [mtx.header(p) for p in paths]

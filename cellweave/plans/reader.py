@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.config import settings
@@ -44,7 +45,7 @@ class Csr:
         return out
 
 
-def to_csr(rows: pa.Table, ids: list[int], ncols: int, key: str, other: str) -> Csr:
+def to_csr(rows: pa.Table, ids: Sequence[int], ncols: int, key: str, other: str) -> Csr:
     """Entries on the driver as a matrix whose rows are ``ids`` in order; repeated coordinates add up."""
     width = max(ncols, 1)
     own, across, val = (rows.column(c).to_numpy() for c in (key, other, "val"))
@@ -67,8 +68,8 @@ class Selection:
     obs: DataFrame
     var: DataFrame
     shape: tuple[int, int]
-    row_ids: list[int] | None = None
-    col_ids: list[int] | None = None
+    row_ids: Sequence[int] | None = None
+    col_ids: Sequence[int] | None = None
 
     def csr(self) -> Csr:
         if self.row_ids is not None:
@@ -84,8 +85,31 @@ class Selection:
 class ObsView:
     """Row metadata by position: ``obs[5, :]``, ``obs[2:7, :]``."""
 
-    def __init__(self, df: DataFrame):
-        self.df = df
+    def __init__(self, df: DataFrame, size: int = 8_192):
+        self.df, self.size = df, size
+        self._starts: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the chunks of row ids that hold rows, rows before each and in all); counted once, on one narrow column."""
+        if self._starts is None:
+            counts = self.df.groupBy(F.floor(F.col("_row_index") / self.size).alias("chunk")).agg(F.count(F.lit(1)).alias("n")).orderBy("chunk").collect()
+            self._starts = np.array([r["chunk"] for r in counts], np.int64), np.concatenate(([0], np.cumsum([r["n"] for r in counts]))).astype(np.int64)
+        return self._starts
+
+    def _placed(self, ids) -> DataFrame:
+        """The rows at sorted positions, with ``_pos``: only chunks that hold one are read, and only those are ordered."""
+        if "_row_index" not in self.df.columns:
+            return matrix.select_ids(dense_rank(self.df, [self.df.columns[0]], "_pos"), ids, "_pos")
+        chunk, start = self._chunks()
+        at = np.unique(np.concatenate([np.arange(np.searchsorted(start, lo, "right") - 1, np.searchsorted(start, hi, "right")) for lo, hi in matrix.runs(ids)])) if len(ids) else np.zeros(0, np.int64)
+        if not len(at):
+            return self.df.where(F.lit(False)).withColumn("_pos", F.lit(0).cast("long"))
+        spans = [(int(chunk[k]) * self.size, int(chunk[k] + 1) * self.size - 1) for k in at.tolist()]
+        near = self.df.where(matrix.among(F.col("_row_index"), spans)).withColumn("_chunk", F.floor(F.col("_row_index") / self.size))
+        before = self.df.sparkSession.createDataFrame([(int(chunk[k]), int(start[k])) for k in at.tolist()], "_chunk long, _before long")
+        own = Window.partitionBy("_chunk").orderBy("_row_index")
+        near = near.join(F.broadcast(before), "_chunk").withColumn("_pos", F.row_number().over(own) - 1 + F.col("_before")).drop("_chunk", "_before")
+        return matrix.select_ids(near, ids, "_pos")
 
     def __len__(self) -> int:
         return self.df.count()
@@ -102,8 +126,7 @@ class ObsView:
         if not (isinstance(key, tuple) and len(key) == 2 and isinstance(key[1], slice) and key[1] == slice(None)):
             raise ValueError("Obs indexing must be in format [rows, :]")
         ids = normalize_row_indices(key[0], len(self))
-        order = "_row_index" if "_row_index" in self.df.columns else self.df.columns[0]
-        rows = matrix.select_ids(dense_rank(self.df, [order], "_pos"), ids, "_pos").orderBy("_pos").toPandas()
+        rows = self._placed(ids).orderBy("_pos").toPandas()
         index = rows["_row_index"] if "_row_index" in rows else rows["_pos"]
         return rows.drop(columns="_pos").set_index(pd.Index(index, name=None))
 
@@ -132,12 +155,18 @@ class Dataset:
         self.obs_table = spark.read.parquet(os.path.join(path, self.meta["obs"]))
         self.var_table = spark.read.parquet(os.path.join(path, self.meta["var"]))
         self._names: list[str] | None = None
+        self._view: ObsView | None = None
         self._parts: dict[str, DataFrame] = {}
 
     shape = property(lambda self: tuple(self.meta["shape"]))
     num_rows = property(lambda self: self.meta["shape"][0])
     num_columns = property(lambda self: self.meta["shape"][1])
-    obs = property(lambda self: ObsView(self.obs_table))
+
+    @property
+    def obs(self) -> ObsView:
+        if self._view is None:
+            self._view = ObsView(self.obs_table, self.meta["max_rows_per_chunk"])
+        return self._view
 
     @property
     def genes(self) -> list[str]:
@@ -147,13 +176,13 @@ class Dataset:
         return self._names
 
     # --- selections -----------------------------------------------------------------------
-    def row_ids(self, index: Any) -> list[int]:
+    def row_ids(self, index: Any) -> Sequence[int]:
         ids = normalize_row_indices(index, self.num_rows)
         if settings.warn_on_large_queries and len(ids) > settings.large_query_threshold:
             warnings.warn(f"{len(ids)} rows are asked for", UserWarning, stacklevel=3)
         return ids
 
-    def col_ids(self, index: Any) -> list[int]:
+    def col_ids(self, index: Any) -> Sequence[int]:
         named = isinstance(index, str) or (isinstance(index, slice) and (isinstance(index.start, str) or isinstance(index.stop, str))) or (not isinstance(index, (slice, int, np.integer, np.ndarray)) and any(isinstance(v, str) for v in index))
         if not named and isinstance(index, np.ndarray):
             named = index.dtype.kind in "UO"
@@ -168,11 +197,11 @@ class Dataset:
             self._parts[name] = store.read_part(self.spark, self.path, name)
         return self._parts[name]
 
-    def row_entries(self, ids: list[int]) -> DataFrame:
+    def row_entries(self, ids: Sequence[int]) -> DataFrame:
         x = self._part("x_rm")
         return matrix.select_ids(x, ids, "row_id", ("row_chunk", self.meta["max_rows_per_chunk"])).drop("row_chunk")
 
-    def col_entries(self, ids: list[int]) -> DataFrame:
+    def col_entries(self, ids: Sequence[int]) -> DataFrame:
         if not self.meta.get("columns_too"):
             raise FileNotFoundError(f"{self.path} has no column layout")
         x = self._part("x_cm")
@@ -212,7 +241,7 @@ class Dataset:
             return self.columns(key)
         return self.rows(key)
 
-    def _obs_of(self, ids: list[int]) -> DataFrame:
+    def _obs_of(self, ids: Sequence[int]) -> DataFrame:
         obs = self.obs_table.withColumn("row_id", F.col("_row_index"))
         mine = matrix.select_ids(obs, ids, "row_id").withColumn("kept", F.lit(True))
         return matrix.id_table(self.spark, ids).join(mine, "row_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))

@@ -86,7 +86,7 @@ def write_store(
     nnz = rows.count()
     meta = {
         "version": VERSION, "shape": list(shape), "nnz_total": nnz, "block_rows": block_rows, "max_rows_per_chunk": max_rows, "max_columns_per_chunk": max_columns,
-        "num_chunks_rm": -(-shape[0] // max_rows), "num_chunks_cm": -(-shape[1] // max_columns) if columns_too else 0, "total_blocks_rm": sum(-(-min(max_rows, shape[0] - lo) // block_rows) for lo in range(0, shape[0], max_rows)),
+        "num_chunks_rm": -(-shape[0] // max_rows), "num_chunks_cm": -(-shape[1] // max_columns) if columns_too else 0, "total_blocks_rm": shape[0] // max_rows * -(-max_rows // block_rows) + -(-(shape[0] % max_rows) // block_rows),
         "obs": obs_name, "var": "var.parquet", "columns_too": columns_too, **(extra or {}),
     }
     write_meta(path, meta)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -32,18 +35,32 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark))
+        own = mounted(spark, sc._jsc.sc().getCheckpointDir().get())
+        if own:
+            _remove_later(own)
     return df.checkpoint(eager=True)
 
 
+def mounted(spark: SparkSession, folder: str) -> str | None:
+    """The folder as a plain path if Spark resolves it to a mounted file system, else None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return str(system.makeQualified(path).toUri().getPath()) if system.getScheme() == "file" else None
+
+
+def _remove_later(folder: str) -> None:
+    """Remove the folder when this process ends."""
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
 def local_folder(spark: SparkSession) -> str | None:
-    """A fresh folder in the shared folder as a plain path, or None if it is not on a mounted file system."""
-    base = shared_dir(spark)
-    if base.startswith("file:"):
-        base = "/" + base[5:].lstrip("/")
-    if "://" in base:
+    """A fresh folder in the shared folder as a plain path, or None if that is not on a mounted file system; removed at exit."""
+    base = mounted(spark, shared_dir(spark))
+    if base is None:
         return None
     path = os.path.join(base, "cellweave-" + uuid.uuid4().hex)
     os.makedirs(path, exist_ok=True)
+    _remove_later(path)
     return path
 
 
@@ -53,13 +70,18 @@ def small_rows(df: DataFrame, most: int) -> list | None:
     return rows if len(rows) <= most else None
 
 
+def bounded(df: DataFrame, most: int) -> bool:
+    """Has the table at most so many rows? Counted where they are."""
+    return df.limit(most + 1).count() <= most
+
+
 def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = 200_000) -> DataFrame:
-    """Join that broadcasts ``right`` only if it has at most ``most`` rows; beyond, a shuffled join."""
-    rows = small_rows(right, most)
-    if rows is None:
-        return left.join(right, on, how)
-    spark = left.sparkSession
-    return left.join(F.broadcast(spark.createDataFrame(rows, right.schema)), on, how)
+    """Join that broadcasts ``right`` only if it has at most ``most`` rows; beyond, a shuffled join.
+
+    ``right`` is computed once, into the shared folder; its rows do not pass through the driver's Python.
+    """
+    right = cut(right)
+    return left.join(F.broadcast(right) if bounded(right, most) else right, on, how)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -71,10 +93,16 @@ def ship_package(spark: SparkSession) -> None:
     name = f"cellweave-{spark.sparkContext.applicationId}.zip"
     if any(str(f).endswith(name) for f in spark.sparkContext.listFiles):
         return
-    path = os.path.join(local_folder(spark) or tempfile.mkdtemp(prefix="cellweave-"), name)
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, names in os.walk(package):
             for n in names:
                 if n.endswith(".py"):
                     z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
-    spark.sparkContext.addPyFile(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark), f"{uuid.uuid4().hex}/{name}")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = system.create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    system.deleteOnExit(path.getParent())
+    spark.sparkContext.addPyFile(str(system.makeQualified(path).toString()))

@@ -109,6 +109,15 @@ class ZarrSource:
             raise ValueError(f"obs columns of {self.path} differ in length: {sorted(sizes)}")
         return found
 
+    @property
+    def n_obs(self) -> int | None:
+        """Rows of the metadata; None without a column."""
+        for name in zarr2.children(self._at("obs")):
+            at = self._at("obs", name)
+            if name != "_index" and (zarr2.is_array(at) or zarr2.is_array(os.path.join(at, "codes"))):
+                return len(zarr2.Array(at if zarr2.is_array(at) else os.path.join(at, "codes")))
+        return None
+
     def var_columns(self) -> list[str]:
         return zarr2.children(self._at("var"))
 
@@ -138,6 +147,7 @@ class H5Source:
         except ImportError:
             raise ImportError(f"reading {path} needs h5py") from None
         self.path, self._file = path, h5py.File(path, "r")
+        self._by_row: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _strings(self, node) -> np.ndarray:
         values = node[:]
@@ -155,7 +165,17 @@ class H5Source:
     def obs_types(self) -> dict[str, pa.DataType]:
         obs = self._file["obs"]
         index = obs.attrs.get("_index", "_index")
-        return {n: plain_type((obs[n]["categories"] if hasattr(obs[n], "keys") else obs[n]).dtype) for n in obs if n not in (index, "__categories")}
+        names = [n for n in obs if n not in (index, "__categories")]
+        sizes = {len(obs[n]["codes"] if hasattr(obs[n], "keys") else obs[n]) for n in names}
+        if len(sizes) > 1:
+            raise ValueError(f"obs columns of {self.path} differ in length: {sorted(sizes)}")
+        return {n: plain_type((obs[n]["categories"] if hasattr(obs[n], "keys") else obs[n]).dtype) for n in names}
+
+    @property
+    def n_obs(self) -> int | None:
+        """Rows of the metadata; None without a column."""
+        obs = self._file["obs"]
+        return next((len(obs[n]["codes"] if hasattr(obs[n], "keys") else obs[n]) for n in obs if n != "__categories"), None)
 
     def var_columns(self) -> list[str]:
         return list(self._file["var"])
@@ -184,10 +204,12 @@ class H5Source:
         kind = kind.decode() if isinstance(kind, bytes) else kind
         ptr = x["indptr"][:].astype(np.int64)
         if "csc" in kind:
-            minor = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-            row = x["indices"][:].astype(np.int64)
-            keep = (row >= lo) & (row < hi)
-            return row[keep], minor[keep], x["data"][:][keep].astype(np.float64)
+            if self._by_row is None:  # turned round once for each task, then cut by rows
+                row = x["indices"][:].astype(np.int64)
+                order = np.argsort(row, kind="stable")
+                self._by_row = (row[order], np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[order], x["data"][:][order].astype(np.float64))
+            a, b = np.searchsorted(self._by_row[0], (lo, hi))
+            return tuple(part[a:b] for part in self._by_row)
         a, b = int(ptr[lo]), int(ptr[hi])
         return np.repeat(np.arange(lo, hi), np.diff(ptr[lo : hi + 1])), x["indices"][a:b].astype(np.int64), x["data"][a:b].astype(np.float64)
 

@@ -25,7 +25,14 @@ def test_folder_comes_from_the_session(spark):
     assert df.count() == 10 and "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_no_folder_on_a_cluster(monkeypatch):
+def test_folders_on_other_file_systems(spark, monkeypatch):
+    assert session.mounted(spark, "/some/where") == session.mounted(spark, "file:///some/where") == "/some/where"
+    monkeypatch.setattr(session, "shared_dir", lambda _: "viewfs:///x")
+    monkeypatch.setattr(session, "mounted", lambda *_: None)
+    assert session.local_folder(spark) is None
+
+
+def test_no_folder_on_a_cluster():
     class Conf:
         def get(self, *_):
             return None
@@ -38,5 +45,3 @@ def test_no_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
-    Conf.get = lambda *_: "hdfs://name/folder"
-    assert session.local_folder(Session()) is None
