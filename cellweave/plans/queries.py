@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import chunk_of, decode_category, local_row, quantise, scaling_factor
-from cellweave.operators import align, ids, matrix, obs, profile
+from cellweave.operators import align, drift, ids, matrix, obs, profile
 from cellweave.operators.blocks import entries, read_blocks
 
 
@@ -28,6 +28,14 @@ def p2_drift(spark: SparkSession, d: str) -> DataFrame:
     return profile.two_sample_test(rows)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(_table(spark, d, "obs_raw"), _table(spark, d, "obs_report"))
+
+
+def p6_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unified_table(_table(spark, d, "obs_raw"), _table(spark, d, "obs_report"))
+
+
 _CHECKED = """WITH chk AS (SELECT o.load_no, o._row_index AS row_index, o.barcode, o._source_file,
   CASE WHEN o.barcode IS NULL THEN NULL WHEN o.scrnaseq_protocol IS NULL THEN EXISTS (SELECT 1 FROM protocol_ref q WHERE regexp_full_match(o.barcode, q.barcode_pattern))
        ELSE EXISTS (SELECT 1 FROM protocol_ref q WHERE q.scrnaseq_protocol = o.scrnaseq_protocol AND regexp_full_match(o.barcode, q.barcode_pattern)) END AS barcode_ok,
@@ -396,7 +404,7 @@ SELECT dataset, coalesce(string_agg(c, ', ' ORDER BY c) FILTER (WHERE common), '
     "dense_rows": "SELECT CAST(i AS INTEGER) AS col_id, count(*) AS nnz FROM (SELECT unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1",
 }
 
-QUERIES: dict = {f.__name__: f for f in (*_CORE, p2_found, p2_profile, p2_drift)}
+QUERIES: dict = {f.__name__: f for f in (*_CORE, p2_found, p2_profile, p2_drift, p6_found, p6_table)}
 SQL: dict = {
     **_CORE_SQL,
     "p2_found": _CHECKED

@@ -59,7 +59,7 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copytree(os.path.join(ROOT, "cellweave"), tmp_path / "cellweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(k for k in e.queries() if k[0] == 'p' and k[1].isdigit()), sorted(set(e.oracle_sql()) - set(e.queries())))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
-    assert out.stdout.strip() == "['p2_drift', 'p2_found', 'p2_profile'] []"
+    assert out.stdout.strip() == "['p2_drift', 'p2_found', 'p2_profile', 'p6_found', 'p6_table'] []"
 
 
 def test_workers_find_the_package_from_anywhere(tmp_path, small):
