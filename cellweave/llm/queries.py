@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import clusters, frequency, mixing, percentiles, pii, schemadrift, tokenizer, topn
+from cellweave.llm import clusters, frequency, mixing, percentiles, pii, tokenizer, topn
 from cellweave.operators.blocks import read_blocks
 
 
@@ -45,14 +45,6 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.file_percentiles(_table(spark, d, "obs"))
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return schemadrift.schema_changes(_table(spark, d, "obs_raw"), _table(spark, d, "obs_report"))
-
-
-def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    return schemadrift.unified_table(_table(spark, d, "obs_raw"), _table(spark, d, "obs_report"))
-
-
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(_table(spark, d, "documents"))
 
@@ -80,4 +72,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_counts, p4_found, p5_found, p5_percentiles, p6_found, p6_table, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_counts, p4_found, p5_found, p5_percentiles, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_redacted)}
