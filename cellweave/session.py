@@ -75,13 +75,22 @@ def bounded(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = 200_000) -> DataFrame:
+def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = 200_000, salt: int = 1) -> DataFrame:
     """Join that broadcasts ``right`` only if it has at most ``most`` rows; beyond, a shuffled join.
 
-    ``right`` is computed once, into the shared folder; its rows do not pass through the driver's Python.
+    ``right`` is computed once, into the shared folder; its rows do not pass through the driver's Python. An inner
+    shuffled join is spread over ``salt`` parts of each key, so that a key of very many rows on the
+    left stands in as many tasks.
     """
     right = cut(right)
-    return left.join(F.broadcast(right) if bounded(right, most) else right, on, how)
+    if bounded(right, most):
+        return left.join(F.broadcast(right), on, how)
+    if salt == 1 or how != "inner":
+        return left.join(right, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c not in keys] or [F.lit(0)]), F.lit(salt)).cast("int"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -12,6 +12,8 @@ def test_checked_join_is_the_same_either_way(spark):
         small = session.join_checked(left, right, "k", how, most=5)
         large = session.join_checked(left, right, "k", how, most=4)
         assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str)
+        salted = session.join_checked(left, right, "k", how, most=4, salt=5)
+        assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, small.collect()), key=str)
         assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert session.small_rows(right, 4) is None and len(session.small_rows(right, 5)) == 5
 
