@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.operators.blocks import decode, latest_blocks, slices, sum_cells
+from cellweave.session import bounded, cut
 
 #: Most terms that are counted in local arrays.
 HEAVY = 512
 #: Blocks looked at to find heavy terms (a hint only).
 DETECT_BLOCKS = 256
-#: Most gene columns whose names are broadcast; a matrix header never has more columns here.
+#: Most gene columns whose names are handed to every task; beyond, names are joined to the entries.
 MOST_COLUMNS = 2_000_000
 _OUT = "term string, entries long, records long"
 
@@ -96,12 +97,12 @@ def gene_frequencies(blocks: DataFrame, genes: DataFrame, rare: float = 0.005, c
     ``mark`` is 'rare', 'common' or ''. Without any cell the share is null and nothing is marked.
     """
     named = genes.select(clean_name(F.col("gene")).alias("gene"), F.col("index").cast("long").alias("index")).where("gene is not null and index is not null").distinct()
-    rows = named.limit(MOST_COLUMNS + 1).collect()
-    if len(rows) > MOST_COLUMNS:
-        raise ValueError("more gene columns than a matrix header can name")
-    names = sorted({r["gene"] for r in rows})
-    number = {g: i for i, g in enumerate(names)}
-    columns = [(int(r["index"]), number[r["gene"]]) for r in rows]
+    if not bounded(named, MOST_COLUMNS):
+        return _marked(named.select("gene").distinct(), _joined_counts(blocks, named), latest_blocks(blocks).agg(F.coalesce(F.sum("nrows_in_block"), F.lit(0)).alias("all_cells")), rare, common)
+    table = named.toArrow()  # the header of the matrix
+    names = pa.concat_arrays(table.column("gene").chunks).unique() if table.num_rows else pa.array([], pa.string())
+    number = {g: i for i, g in enumerate(names.to_pylist())}
+    columns = [(int(c), number[g]) for g, c in zip(table.column("gene").to_pylist(), table.column("index").to_pylist())]
     width = max([c for c, _ in columns if c >= 0], default=-1) + 1
     place = np.full(width, -1, np.int64)  # column -> name; a column has one name, as index is unique
     for c, k in columns:
@@ -146,12 +147,29 @@ def gene_frequencies(blocks: DataFrame, genes: DataFrame, rare: float = 0.005, c
     def out(heavy, name, n, m):
         return pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(name, pa.int32()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["heavy", "term", "entries", "records"])
 
-    counts = _unite(current.mapInArrow(run, "heavy boolean, term int, entries long, records long"))
-    got = {r["term"]: (r["entries"], r["records"]) for r in counts.collect()}  # at most one row per gene name
-    all_cells = got.pop(-1, (0, 0))[0]
-    table = []
-    for k, gene in enumerate(names):
-        n, m = got.get(k, (0, 0))
-        mark = "" if not all_cells else "rare" if m < rare * all_cells else "common" if m > common * all_cells else ""
-        table.append((gene, n, m, all_cells, m / all_cells if all_cells else None, mark))
-    return spark.createDataFrame(table, "gene string, entries long, cells long, all_cells long, share double, mark string")
+    counts = cut(_unite(current.mapInArrow(run, "heavy boolean, term int, entries long, records long")))
+    numbered = spark.createDataFrame(pa.table({"term": pa.array(range(len(names)), pa.int32()), "gene": names}))
+    total = counts.where("term = -1").agg(F.coalesce(F.max("entries"), F.lit(0)).alias("all_cells"))
+    return _marked(numbered.select("gene"), numbered.join(counts, "term").select("gene", "entries", "records"), total, rare, common)
+
+
+def _joined_counts(blocks: DataFrame, named: DataFrame) -> DataFrame:
+    """(gene, entries, records) where the header is too wide to hand to every task: names are joined to the entries."""
+
+    def run(batches):
+        for batch in slices(batches):
+            _, row, col, data = decode(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(col, pa.int64()), pa.array(data, pa.int64())], ["row_id", "index", "val"])
+
+    flat = latest_blocks(blocks).mapInArrow(run, "row_id long, index long, val long").join(named, "index")
+    per_cell = flat.groupBy("gene", "row_id").agg(F.sum("val").alias("val"), F.count(F.lit(1)).alias("n"))
+    return per_cell.groupBy("gene").agg(F.sum("n").alias("entries"), F.count_if(F.col("val") > 0).alias("records"))
+
+
+def _marked(names: DataFrame, counts: DataFrame, total: DataFrame, rare: float, common: float) -> DataFrame:
+    """Every name with its counts, 0 where it has none, and its mark; ``total`` has one row."""
+    rows = names.join(counts, "gene", "left").join(F.broadcast(total), F.lit(True))
+    cells, every = F.coalesce("records", F.lit(0)), F.col("all_cells")
+    mark = F.when(every == 0, "").when(cells < F.lit(rare) * every, "rare").when(cells > F.lit(common) * every, "common").otherwise("")
+    share = F.when(every > 0, cells / every)
+    return rows.select("gene", F.coalesce("entries", F.lit(0)).alias("entries"), cells.alias("cells"), every.cast("long").alias("all_cells"), share.alias("share"), mark.alias("mark"))

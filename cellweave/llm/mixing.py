@@ -8,13 +8,15 @@ drawn per source, and a copy is emitted for every integer boundary crossed.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.session import bounded
+
 #: Buckets that a source is cut into for its prefix sums.
 BUCKETS = 4096
+#: Most listed sources whose rates are broadcast.
+MOST_SOURCES = 100_000
 
 
 def clean_source(column) -> F.Column:
@@ -58,17 +60,15 @@ def _offset(seed: int):
     return (F.pmod(F.xxhash64(F.col("source"), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))).alias("offset")
 
 
-def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id") -> DataFrame:
-    """(key, source, n_tokens, copies): documents with how often the mixture takes them, if at all.
+def _crossings(sized: DataFrame, plan: DataFrame, seed: int, key: str) -> DataFrame:
+    """(key, source, n_tokens, rate, crossed): documents with the integer boundaries that their ``rate`` expected copies cross.
 
-    ``sized`` has ``key``, ``source`` and ``n_tokens``. A document of a source with r expected
-    copies is taken floor(r) or ceil(r) times, so never more than ``max_repeats``; a source's
-    documents together are taken within one of their number times r. Rows with equal keys are
-    taken as several documents. Unlisted and nameless sources are not taken.
+    The copies of a source's documents are laid end to end in a fixed random order, from one random
+    offset on. ``plan`` has one row per listed source.
     """
-    plan = mix_plan(sized, targets).where("copies > 0").select("source", F.col("copies").alias("rate"))
     docs = sized.select(F.col(key), clean_source(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
-    docs = docs.join(F.broadcast(plan), "source")  # at most one row per listed source
+    plan = plan.select("source", "rate")
+    docs = docs.join(F.broadcast(plan) if bounded(plan, MOST_SOURCES) else plan, "source")
     docs = docs.withColumn("bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(BUCKETS)))
     sums = docs.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,8 +76,37 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id"
     place = Window.partitionBy("source", "bucket").orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)), F.col(key))
     docs = docs.withColumn("at", F.row_number().over(place) - 1).join(sums, ["source", "bucket"]).withColumn("at", F.col("at") + F.col("before"))
     docs = docs.withColumn("offset", _offset(seed))
-    taken = F.floor((F.col("at") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("at") * F.col("rate") + F.col("offset"))
-    return docs.select(key, "source", "n_tokens", taken.cast("int").alias("copies")).where("copies > 0")
+    crossed = F.floor((F.col("at") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("at") * F.col("rate") + F.col("offset"))
+    return docs.select(key, "source", "n_tokens", "rate", crossed.alias("crossed"))
+
+
+def mix(sized: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id") -> DataFrame:
+    """(key, source, n_tokens, copies): documents with how often the mixture takes them, if at all.
+
+    ``sized`` has ``key``, ``source`` and ``n_tokens``. A document of a source with r expected
+    copies is taken floor(r) or ceil(r) times, so never more than ``max_repeats``; a source's
+    documents together are taken within one of their number times r. Rows with equal keys are
+    taken as several documents. Unlisted and nameless sources are not taken.
+    """
+    plan = mix_plan(sized, targets).where("copies > 0").withColumn("rate", F.col("copies"))
+    return _crossings(sized, plan, seed, key).select(key, "source", "n_tokens", F.col("crossed").cast("int").alias("copies")).where("copies > 0")
+
+
+def short_sources(sized: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id") -> DataFrame:
+    """(source): listed sources that cannot reach their share, found by sampling them without the cap.
+
+    Each source is sampled at the rate that its share asks for. If the rate is above ``max_repeats``,
+    the boundaries crossed are at least ``max_repeats`` for each document, whatever the offset, so a
+    source of which fewer are crossed is not short. Of the sources that the sample finds exhausted, which
+    may be off by one copy, the exact sums decide. A source without tokens has nothing to sample and
+    is short if it has a share.
+    """
+    plan = mix_plan(sized, targets)
+    asked = plan.where("tokens > 0").withColumn("rate", F.col("wanted") / F.col("tokens"))
+    crossed = _crossings(sized, asked, seed, key).groupBy("source").agg(F.sum("crossed").alias("crossed"))
+    rows = plan.join(crossed, "source", "left")
+    exhausted = (F.col("tokens") == 0) | (F.col("crossed") >= F.col("max_repeats") * F.col("documents"))
+    return rows.where(exhausted & F.col("short")).select("source")
 
 
 def mix_shares(sized: DataFrame, targets: DataFrame, seed: int = 7, key: str = "doc_id") -> DataFrame:

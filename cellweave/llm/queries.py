@@ -33,6 +33,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return frequency.gene_frequencies(_blocks(spark, d), _table(spark, d, "var_genes")).where("mark != ''").select("gene", "mark")
 
 
+def p3_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all documents, parted at blanks."""
+    words = _table(spark, d, "documents").select(F.filter(F.split("text", " "), lambda w: w != "").alias("words"))
+    return frequency.term_frequencies(words, "words")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_genes(_blocks(spark, d), 3).select("row_index", "rank_no", "gene_index")
 
@@ -50,8 +56,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    sized = tokenizer.count_tokens(_table(spark, d, "documents"), ["source"])
-    return mixing.mix_plan(sized, _table(spark, d, "mix_targets")).where("short").select("source")
+    sized = tokenizer.token_counts(_table(spark, d, "documents"), ["doc_id", "source"])
+    return mixing.short_sources(sized, _table(spark, d, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -72,4 +78,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_counts, p4_found, p5_found, p5_percentiles, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p3_found, p3_counts, p3_terms, p4_found, p5_found, p5_percentiles, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_redacted)}

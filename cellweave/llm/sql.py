@@ -23,6 +23,8 @@ marked AS (SELECT *, CASE WHEN cells < 0.005 * all_cells THEN 'rare' WHEN cells
 SQL = {
     "p3_counts": _GENES + "SELECT gene, entries, cells, all_cells, mark FROM marked",
     "p3_found": _GENES + "SELECT gene, mark FROM marked WHERE mark <> ''",
+    "p3_terms": """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents)
+SELECT term, count(*) AS entries, count(DISTINCT doc_id) AS records FROM w WHERE term <> '' GROUP BY 1""",
     "p4_found": f"""WITH {_CELLS}
 SELECT row_index, CAST(rank_no AS INTEGER) AS rank_no, CAST(col AS INTEGER) AS gene_index
 FROM (SELECT row_index, col, row_number() OVER (PARTITION BY row_index ORDER BY val DESC, col) AS rank_no FROM x WHERE val > 0)

@@ -1,9 +1,12 @@
 """Top N items of every group, by merging sorted runs with a loser tree.
 
-Every task sorts its rows into one run (group, score descending, item) and keeps at most N
-per group, which is all that a run can add to the result, so a group of any size sends N
-rows per task. Runs are stored in buckets by group; each bucket merges its runs with a
-loser tree and, after N outputs of a group, every run seeks to the next group.
+Rows are put into runs, sorted by group, score descending and item. A run keeps at most N rows of
+a group, which is all that it can add to the result, so a group of any size sends N
+rows per run. Runs are brought together in buckets of groups, where Spark sorts them; each bucket merges its
+runs with a loser tree and, after N outputs of a group, every run seeks to the next group.
+
+The runs of a table are its tasks; those of a matrix are stripes of its columns within each task, so a
+cell's genes stand in as many runs as there are stripes and its N highest are found by merging.
 """
 
 from __future__ import annotations
@@ -16,6 +19,10 @@ from pyspark.sql import functions as F
 
 from cellweave.operators.blocks import decode, latest_blocks, slices, sum_cells
 
+#: Stripes of columns, each of them a run.
+STRIPES = 4
+#: Groups of a bucket, about; bounds what a merge holds.
+GROUPS = 16_384
 _RUN = "bucket int, run long, grp long, score double, item long"
 _OUT = "grp long, rank_no int, item long, score double"
 
@@ -95,28 +102,44 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int):
         tree.replace(head(r))
 
 
-def _merge_bucket(n: int):
+def _merged(n: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The N first of every group of one bucket, whose rows come ordered by run, group, score descending and item."""
+    table = pa.Table.from_batches(parts)
+    run, grp, score, item = (table.column(c).to_numpy() for c in ("run", "grp", "score", "item"))
+    cuts = np.flatnonzero(run[1:] != run[:-1]) + 1
+    got: list[list] = [[], [], [], []]
+    for row in merge_runs(list(zip(np.split(grp, cuts), np.split(score, cuts), np.split(item, cuts))), n):
+        for k, v in enumerate(row):
+            got[k].append(v)
+    return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.int64()), pa.array(got[3], pa.float64())], ["grp", "rank_no", "item", "score"])
+
+
+def _merge_buckets(n: int):
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        bucket = table.column("bucket").to_numpy()
-        run_no, grp = table.column("run").to_numpy(), table.column("grp").to_numpy()
-        score, item = table.column("score").to_numpy(), table.column("item").to_numpy()
-        for b in np.unique(bucket):  # a task may hold several buckets, one at a time is merged
-            at = np.flatnonzero(bucket == b)
-            at = at[np.lexsort((item[at], -score[at], grp[at], run_no[at]))]
-            cuts = np.flatnonzero(np.diff(run_no[at])) + 1
-            got: list[list] = [[], [], [], []]
-            for row in merge_runs([(grp[p], score[p], item[p]) for p in np.split(at, cuts)], n):
-                for k, v in enumerate(row):
-                    got[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.int64()), pa.array(got[3], pa.float64())], ["grp", "rank_no", "item", "score"])
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            starts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if held and bucket[lo] != now:  # one bucket at a time is in memory
+                    yield _merged(n, held)
+                    held = []
+                now = bucket[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield _merged(n, held)
 
     return run
 
 
+def _merge(runs: DataFrame, n: int) -> DataFrame:
+    """Bring the runs of each bucket together, sorted by Spark, which spills where it has to, and merge them."""
+    return runs.repartition("bucket").sortWithinPartitions("bucket", "run", "grp", F.desc("score"), "item").mapInArrow(_merge_buckets(n), _OUT)
+
+
 def _cut_run(n: int, buckets: int):
     """Of a sorted stream (group, score, item) keep N rows per group; the task's rows are one run."""
 
@@ -139,16 +162,17 @@ def _cut_run(n: int, buckets: int):
     return run
 
 
-def _rows(buckets: int, me: int, grp, score, item) -> pa.RecordBatch:
+def _rows(buckets: int, run, grp, score, item) -> pa.RecordBatch:
     mixed = (grp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
     return pa.RecordBatch.from_arrays(
-        [pa.array((mixed % np.uint64(buckets)).astype(np.int32)), pa.array(np.full(len(grp), me, np.int64)), pa.array(grp, pa.int64()), pa.array(score, pa.float64()), pa.array(item, pa.int64())],
+        [pa.array((mixed % np.uint64(buckets)).astype(np.int32)), pa.array(np.broadcast_to(np.asarray(run, np.int64), len(grp))), pa.array(grp, pa.int64()), pa.array(score, pa.float64()), pa.array(item, pa.int64())],
         ["bucket", "run", "grp", "score", "item"],
     )
 
 
-def _buckets(df: DataFrame) -> int:
-    return 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(df: DataFrame, groups: int) -> int:
+    """Buckets of about ``GROUPS`` groups, at least one for each shuffle partition."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS))
 
 
 def top_n(df: DataFrame, group: str, score: str, item: str, n: int) -> DataFrame:
@@ -160,9 +184,8 @@ def top_n(df: DataFrame, group: str, score: str, item: str, n: int) -> DataFrame
     flat = df.select(F.col(group).cast("long").alias("grp"), F.col(score).cast("double").alias("score"), F.col(item).cast("long").alias("item"))
     flat = flat.where(F.col("grp").isNotNull() & F.col("item").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     # equal rows within a task would fill a run's N places, so they are merged before the cut
-    flat = flat.sortWithinPartitions("grp", F.desc("score"), "item").mapInArrow(_without_repeats, flat.schema)
-    buckets = _buckets(df)
-    return flat.mapInArrow(_cut_run(max(n, 0), buckets), _RUN).repartition("bucket").mapInArrow(_merge_bucket(n), _OUT)
+    buckets = _buckets(df, flat.agg(F.approx_count_distinct("grp", 0.1)).collect()[0][0])
+    return _merge(flat.sortWithinPartitions("grp", F.desc("score"), "item").mapInArrow(_without_repeats, flat.schema).mapInArrow(_cut_run(max(n, 0), buckets), _RUN), n)
 
 
 def _without_repeats(batches):
@@ -177,29 +200,29 @@ def _without_repeats(batches):
         yield batch.filter(pa.array(new))
 
 
-def top_genes(blocks: DataFrame, n: int = 3) -> DataFrame:
+def top_genes(blocks: DataFrame, n: int = 3, stripes: int = STRIPES) -> DataFrame:
     """(row_index, rank_no, gene_index, value): the ``n`` highest genes of every cell.
 
     Only the latest writing of a block counts, values at one coordinate add up, sums above 0
     qualify, ties go to the smaller gene. Cells without such entries have no rows.
     """
     current = latest_blocks(blocks)
-    buckets = _buckets(blocks)
+    buckets = _buckets(blocks, int(current.agg(F.sum("nrows_in_block")).collect()[0][0] or 0))
 
     def run(batches):
-        me = TaskContext.get().partitionId() << 24
-        for k, batch in enumerate(slices(batches)):
+        me = TaskContext.get().partitionId() * stripes
+        for batch in slices(batches):
             row, col, data = sum_cells(*decode(batch)[1:])
             good = data > 0
             row, col, data = row[good], col[good], data[good]
-            order = np.lexsort((col, -data, row))
-            row, col, data = row[order], col[order], data[order]
+            stripe = col % stripes
+            order = np.lexsort((col, -data, row, stripe))
+            row, col, data, stripe = row[order], col[order], data[order], stripe[order]
             if not len(row):
                 continue
-            start = np.concatenate(([0], np.flatnonzero(row[1:] != row[:-1]) + 1))
+            start = np.concatenate(([0], np.flatnonzero((row[1:] != row[:-1]) | (stripe[1:] != stripe[:-1])) + 1))
             rank = np.arange(len(row)) - np.repeat(start, np.diff(np.concatenate((start, [len(row)]))))
             keep = rank < n
-            yield _rows(buckets, me + k, row[keep], data[keep], col[keep])
+            yield _rows(buckets, me + stripe[keep], row[keep], data[keep], col[keep])
 
-    merged = current.mapInArrow(run, _RUN).repartition("bucket").mapInArrow(_merge_bucket(n), _OUT)
-    return merged.select(F.col("grp").alias("row_index"), "rank_no", F.col("item").cast("int").alias("gene_index"), F.col("score").cast("long").alias("value"))
+    return _merge(current.mapInArrow(run, _RUN), n).select(F.col("grp").alias("row_index"), "rank_no", F.col("item").cast("int").alias("gene_index"), F.col("score").cast("long").alias("value"))

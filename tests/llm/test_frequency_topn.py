@@ -34,6 +34,10 @@ def test_gene_counts_equal_brute_force(spark, monkeypatch):
         assert {r.all_cells for r in rows} == {len(cells)}
         for r in rows:
             assert r.mark == ("rare" if r.cells < 0.005 * 60 else "common" if r.cells > 30 else "")
+    monkeypatch.setattr(frequency, "MOST_COLUMNS", 3)  # a header too wide to hand round
+    wide = frequency.gene_frequencies(df, g).collect()
+    assert sorted(map(tuple, wide)) == sorted(map(tuple, rows))
+    monkeypatch.undo()
     assert {(r.cells, r.mark) for r in frequency.gene_frequencies(df.limit(0), g).collect()} == {(0, "")}
     assert frequency.gene_frequencies(df, g.limit(0)).collect() == []
 
@@ -82,6 +86,46 @@ def test_top_genes(spark):
     assert sorted((r.row_index, r.rank_no, r.gene_index) for r in topn.top_genes(df).collect()) == expected
 
 
+def test_cells_stand_in_several_runs_and_the_merge_decides(spark):
+    rng = np.random.default_rng(6)
+    cells = [[(int(c), int(v)) for c, v in zip(rng.choice(40, 15, replace=False), rng.integers(1, 9, 15))] for _ in range(30)]
+    df = spark.createDataFrame(blocks_of(cells, ncols=40), BLOCK_SCHEMA)
+    got = {(r.row_index, r.rank_no): r.gene_index for r in topn.top_genes(df).collect()}
+    for stripes in (1, 7):
+        assert {(r.row_index, r.rank_no): r.gene_index for r in topn.top_genes(df, 3, stripes).collect()} == got
+    taken = {}
+    for r in topn._merge(runs_of(topn, df), 10**6).collect():  # without the limit of N, all that the runs hold
+        taken.setdefault(r.grp, set()).add(r.item % topn.STRIPES)
+    assert sum(len(s) > 1 for s in taken.values()) == 30
+    # runs one after the other instead of merged: the result is another one
+    rows = [(r.bucket, r.run, r.grp, -r.score, r.item) for r in runs_of(topn, df).collect()]
+    first: dict = {}
+    for _, _, g, _, i in sorted(rows):
+        first.setdefault(g, []).append(i)
+    assert {(g, k + 1): i for g, items in first.items() for k, i in enumerate(items[:3])} != got
+    assert all(len(items) == 3 * topn.STRIPES or len(items) > 6 for items in first.values())
+
+
+def runs_of(topn, df):
+    """The runs that top_genes merges."""
+    held = []
+    real = topn._merge
+    topn._merge = lambda runs, n: held.append(runs) or real(runs, n)
+    try:
+        topn.top_genes(df)
+    finally:
+        topn._merge = real
+    return held[0]
+
+
+def test_buckets_are_merged_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(topn, "GROUPS", 4)
+    rng = np.random.default_rng(8)
+    rows = [(int(g), float(s), int(i)) for g, s, i in zip(rng.integers(0, 300, 4000), rng.integers(0, 30, 4000), rng.integers(0, 1000, 4000))]
+    df = spark.createDataFrame(rows, "g long, s double, i long").repartition(7)
+    assert sorted(map(tuple, topn.top_n(df, "g", "s", "i", 4).collect())) == best(rows, 4)
+
+
 def test_loser_tree_orders_any_runs():
     rng = np.random.default_rng(9)
     for k in range(1, 9):

@@ -16,10 +16,9 @@ def test_merged_summaries_keep_their_bound(k):
         s = Summary(k)
         for piece in np.array_split(p, 3):
             s.add(piece)
-        n, e, v, w = s.row()
-        whole.merge(Summary.of(k, n, e, np.array(v), np.array(w)))
+        whole.merge(Summary.of(k, *s.row()))
     values = np.sort(np.concatenate(parts))
-    assert whole.n == len(values) and sum(whole.row()[3]) == len(values)
+    assert whole.n == len(values) and sum(n << level for level, n in enumerate(whole.row()[3])) == len(values)
     for rank in range(1, len(values) + 1, 7):
         low, high = whole.bounds(rank)
         assert low <= values[rank - 1] <= high
@@ -46,6 +45,37 @@ def test_exact_quantiles_of_skewed_groups(spark):
     assert exact_quantiles(df.limit(0), {"p25": (1, 4)}).collect() == []
 
 
+def test_more_tasks_than_one_step_takes(spark, monkeypatch):
+    from cellweave.llm import percentiles
+
+    monkeypatch.setattr(percentiles, "FAN_IN", 3)
+    rng = np.random.default_rng(3)
+    values = rng.permutation(5000).astype(float)
+    df = spark.createDataFrame([("g", "m", float(v)) for v in values], "grp string, measure string, value double").repartition(20)
+    states = summarise(df, 16)
+    assert states.count() == 20
+    rows = combine(states, 16).collect()
+    assert [r.n for r in rows] == [5000] and rows[0].error > 0
+    got = exact_quantiles(df, {"p25": (1, 4), "p75": (3, 4)}, k=16).collect()
+    assert [(r.p25, r.p75) for r in got] == [(1249.0, 3749.0)]
+
+
+def test_hot_groups_are_joined_salted_or_broadcast(spark, monkeypatch):
+    from cellweave.llm import percentiles
+
+    f = ["12345678_a.zarr", "12345678_b.zarr"]
+    rows = [obs_row(i, f[i % 3 == 0], 1, i % 97, float(i % 89)) for i in range(4000)] + [obs_row(9000, f[0], 1, 5000, 1.0)]
+    df = spark.createDataFrame(rows, "_row_index long, _source_file string, load_no int, nnz long, total_counts float, loaded_at timestamp, value string")
+    plain = far_outside(df)
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    real = percentiles.join_checked
+    monkeypatch.setattr(percentiles, "join_checked", lambda a, b, on, **kw: real(a, b, on, most=0, **kw))
+    salted = far_outside(df)
+    assert "_salt" in salted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect())) and (9000, "nnz") in {tuple(r) for r in plain.collect()}
+
+
 def obs_row(i, file, load, nnz, total):
     return (i, file, load, nnz, total, dt.datetime(2020, 1, 1), "x")
 

@@ -102,3 +102,20 @@ def test_mixture(spark):
     assert abs(sum(r.real_share for r in shares.values()) - 1) < 1e-9 and shares["zero"].tokens_taken == 0
     assert {r.short for r in mixing.mix_plan(df.limit(0), targets).collect()} == {False}
     assert mixing.mix(df, targets.limit(0)).collect() == []
+
+
+def test_short_sources_come_from_the_sampling(spark, monkeypatch):
+    sizes = {"a": [10] * 30, "b": [7] * 5, "c": [1, 2, 3], "zero": [0, 0], "fine": [50] * 20}
+    docs = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 1.0, 2), ("b", 1.0, 3), (" C ", 0.5, 1), ("zero", 0.1, 5), ("fine", 1.0, 9), ("none", 0.2, 4), ("off", 0.0, 0)], "source string, weight double, max_repeats int")
+    plan = {r.source: r.short for r in mixing.mix_plan(df, targets).collect()}
+    want = {s for s, short in plan.items() if short}
+    assert {"b", "c", "zero", "none"} <= want and "off" not in want and "fine" not in want
+    for seed in range(4):
+        assert {r.source for r in mixing.short_sources(df, targets, seed).collect()} == want
+    real = mixing._crossings
+    monkeypatch.setattr(mixing, "_crossings", lambda *a: real(*a).withColumn("crossed", tokenizer.F.lit(0)))
+    assert {r.source for r in mixing.short_sources(df, targets).collect()} == {"zero", "none"}  # without the sampling only what cannot be sampled
+    monkeypatch.undo()
+    assert mixing.short_sources(df.limit(0), targets).count() == 0 and mixing.short_sources(df, targets.limit(0)).count() == 0
