@@ -41,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder as Parquet and read from there, so that later passes read only the columns they use; removed at exit."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark), "cellweave-" + uuid.uuid4().hex)
+    df.write.option("compression", "zstd").parquet(str(path.toString()))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(str(path.toString()))
+
+
 def mounted(spark: SparkSession, folder: str) -> str | None:
     """The folder as a plain path if Spark resolves it to a mounted file system, else None."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -27,6 +27,12 @@ def test_folder_comes_from_the_session(spark):
     assert df.count() == 10 and "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stored_tables_read_only_what_is_used(spark):
+    df = session.stored(spark.range(100).selectExpr("id", "repeat('x', 50) as wide"))
+    assert df.count() == 100 and df.agg({"id": "max"}).collect()[0][0] == 99
+    assert "ReadSchema: struct<id:bigint>" in df.select("id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_folders_on_other_file_systems(spark, monkeypatch):
     assert session.mounted(spark, "/some/where") == session.mounted(spark, "file:///some/where") == "/some/where"
     monkeypatch.setattr(session, "shared_dir", lambda _: "viewfs:///x")
