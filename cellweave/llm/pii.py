@@ -2,10 +2,11 @@
 
 Candidates of five kinds are spotted in the whole text (white space runs taken as one
 space). For each candidate several labelers vote: regular expressions of formats, gazetteers
-(surnames and given names met in sure contexts, and the parts they are made of) and context
-on either side. Expectation-maximisation over the vote patterns estimates how reliable each
-labeler is, without any labelled data; the posteriors train one logistic span classifier per
-kind over votes, neighbouring words and shape, which takes the decision.
+(surnames, given names, towns and words of firms met in sure contexts, and the parts they are made
+of) and context on either side. Expectation-maximisation over the vote patterns estimates how
+reliable each labeler is, without any labelled data and without believing any beforehand; the
+posteriors train one logistic span classifier per kind over votes, neighbouring words and
+shape, which takes the decision on every candidate.
 
 Gazetteers are counted over all documents; a title or role raises a candidate also where no
 gazetteer has the name. Reliabilities and classifiers are fitted on at most ``FIT_DOCUMENTS``
@@ -15,6 +16,7 @@ document. Null, empty and blank texts have no findings.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -28,8 +30,10 @@ from cellweave.session import cut
 
 #: Most documents that the model is fitted on.
 FIT_DOCUMENTS = 3_000
-#: Most entries of each gazetteer.
-GAZETTEER = 50_000
+#: Longest text that is fitted on, so that what reaches the driver is bounded; longer ones are searched like any other.
+FIT_LONGEST = 50_000
+#: Most entries of each gazetteer, far above the number of surnames of a country; bounds what every worker holds.
+GAZETTEER = 1_000_000
 #: Hashed features of a classifier.
 WIDTH = 1 << 14
 #: Decisions and token classes that a worker remembers.
@@ -43,44 +47,39 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-](?![sS]\b)[^\W\d_]+)*")
 # --- email -------------------------------------------------------------------------------
 _AT = re.compile(r"@|[\[(][aA][tT][\])]")
 _AT_DOT = re.compile(r" (?:at|AT) (?=[\w-]+ (?:dot|DOT) )")
-_LOCAL = re.compile(r"[\w.+%'-]*[\w+]$")
+_LOCAL = re.compile(r"[\w.+%'-]")
+_MAIL = re.compile(r"mail|courriel|contact|kontakt|sent to|address|adresse|write|écri|schreib|[<(]$", re.I)
 _DOMAIN = re.compile(r" ?[\w-]+(?:(?: ?[\[(]dot[\])] ?| dot |[.․])[\w-]+)*(?: ?[\[(]dot[\])] ?| dot |[.․])[A-Za-z]{2,}\b", re.I)
 # --- numbers -----------------------------------------------------------------------------
 _DIGITS = re.compile(r"[(+0-9](?:[+(]?\d| (?=\d\d ))(?:[\d./()-]| (?=[\d(–-])|–){5,}")
 _PHONE = re.compile(
     r"\((?:\d{3,5}\) \d{3}-\d{4})\b|\d{3}(?:\.\d{3}\.\d{4}(?: ext\. ?\d{1,5})?|-\d{4})\b|00\d{9,13}\b|0\d{2} \d{3} \d{3}\b|0\d{2,4}/\d{3} ?\d{3,4}\b|0\d{3,4} [–-] \d{3} \d{3,4}\b|0\d{1,2}(?:\.\d{2,3}){3,4}\b"
-    r"|\+\d{1,3}(?: \(0\)\d{1,4} \d{4,8}|(?: \d{2,4}){2,4}|-\d{2,4}-\d{4,8})\b"
+    r"|\+\d{1,3}(?: \(0\)\d{1,4} \d{4,8}|(?: \d{2,4}){2,4}|-\d{2,4}-\d{4,8}|[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|(?:[ .-]?\d{2,4}){3,5})\b"
 )
 _ID = re.compile(r"\d{11}\b(?![/-]\d)|\d{6}[/-]\d{4}\b|\d{3}-\d{2}-\d{4}\b|\d{3}\.\d{3}\.\d{3}-\d{2}\b|\d \d{2} \d{2} \d{6}\b")
 _LETTER_ID = re.compile(r"[A-Z](?:[A-Z] \d{2} \d{2} \d{2} [A-Z]|\d{8}|[A-Z]{2}-\d{6}-[A-Z])\b")
 _LOOSE = re.compile(r"[+(]?\d[\d ()./–-]{4,}\d\b")
-_PHONE_LEFT = re.compile(r"(?:\bTel\.?:?|T[ée]l\.?:?|[Pp]hone:?|[Tt]elefon\w*:?|Fax:?|[Mm]obile?:?|reached (?:on|at)|the number|Calls? to|Partei unter|erreichbar unter|[Jj]oignable au|call(?:ed)?(?: on)?) $")
-_PHONE_RIGHT = re.compile(r" ?(?:went unanswered|that night|nicht erreichbar|selon le greffe|erreichbar|\(?(?:mobile|fax|tel)\b)", re.I)
-_ID_LEFT = re.compile(
-    r"(?:\b[Ii]dentit(?:y|é|ät)\b[^;:\d]{0,14}:?|\b[Ii]nsurance (?:no\.?|number)|\b[Pp]assports?(?: no\.?| number)?|\bPersonal ID:?|\bID(?: no\.?| card)?:?|[Nn]ational (?:number|ID)|[Pp]ersonenkennzahl:?|[Pp]ersonalausweis\w*[^.;]{0,8}|[Rr]eisepass\w*[^.;]{0,8}|[Aa]usweis(?:-?[Nn]r\.?|nummer)?:?|[Vv]ersicherungsn\w*\.?:?|[Pp]ass(?:-?[Nn]r\.?|nummer):?|[Pp]asseport[^.;]{0,8}|[Ss]écurité sociale[^.;]{0,8}|[Aa]ssurance[^.;]{0,10}|SSN:?) ?$"
-)
-_ID_RIGHT = re.compile(r" ?(?:\(verified\)|was produced|, tel que relevé|, laut |lautet)")
-_NUMBER_TRAP = re.compile(
-    r"(?:file number|[Ff]iles? no\.?|Docket(?: no\.?)?|Consignment|reading of|relevé de|Zählerstand von|Invoice|[Rr]echnung|facture|Account no\.|[Aa]ccount|Konto\w*|compte|ISBN|Az\.|No\.|n°|Nr\.|lot|sheet|exhibit|volume|page|p\.|VLR|OCA|v\.? [^.]{0,30},|[Aa]ktenzeichen|dossier|bordereau|pièce) $"
-)
+_PHONE_WORD = re.compile(r"\b(?:tel|tél|phone|fax|mobil|handy|natel|call|appel|joign|erreich|reach|anruf|rufnummer|dial|whatsapp|sms|the number|unter) ?", re.I)
+_ID_WORD = re.compile(r"\b(?:identit|identity|identität|personal id|id\b|ssn|passport|passeport|pass(?:-?nr|nummer|\b)|reisepass|personalausweis|ausweis|insurance|assurance|versicherung|social|sécurité sociale|sozialversicherung|ahv|national (?:number|id)|personenkenn|steuer-?id|taxpayer)", re.I)
+_NUMBER_TRAP = re.compile(r"\b(?:files?(?: no\.?| number)?|docket(?: no\.?)?|case no\.?|consignment|invoice|rechnung|facture|account(?: no\.?)?|konto\w*|compte|isbn|az\.|no\.|n°|nr\.|lot|sheet|exhibit|volume|page|p\.|aktenzeichen|dossier|v\.? [^.]{0,30},) $", re.I)
 _DATE = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d{2}-\d{2}|\d{4}-\d{4}-\d{4}")
 # --- address -----------------------------------------------------------------------------
-_NO = r"\d{1,4} ?[a-zA-Z]?(?:/\d{1,3})?(?: bis| ter)?"
+_NO = r"\d+ ?[a-zA-Z]?(?:/\d+)?(?: bis| ter)?"
 _EN_TYPES = ("Road", "Rd", "Street", "St", "Avenue", "Ave", "Lane", "Row", "Terrace", "Boulevard", "Blvd", "Close", "Square", "Drive", "Crescent", "Gardens", "Mews", "Place", "Way", "Hill")
 _EN_TYPE = "(?:" + "|".join([*_EN_TYPES, *(t.upper() for t in _EN_TYPES)]) + ")"
 _EN = re.compile(rf"{_NO},? (?:(?:St|ST)\.? )?[{_U}][\w'’-]* (?:[{_U}][\w'’-]* ){{0,2}}?(?:(?:St|ST|Ave|AVE|Rd|RD|Blvd|BLVD)\.|{_EN_TYPE}\b)")
 _FR_NAME = rf"(?:(?:de la|de|du|des|la|le|les) |(?:de )?[lL]['’]|[dD]['’])?(?-i:[{_U}])[\w’'-]*(?:[ -](?:(?:de|du|des|la) )?(?-i:[{_U}])(?![\w’'-]* ?[:—–])[\w’'-]*)*"
-_FR_TYPE = r"(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée|cours|passage)"
+_FR_TYPE = r"(?:rue|avenue|quai|boulevard|place|chemin|impasse|allée|cours|passage|calle|avenida|plaza|paseo|via|viale|piazza|corso)"
 _FR = re.compile(rf"{_NO},? {_FR_TYPE} {_FR_NAME}", re.I)
 _FR_AFTER = re.compile(rf"{_FR_TYPE} {_FR_NAME}(?:,)? {_NO}(?![\w/])", re.I)
-_DE_END = re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|ring|damm|ufer|markt) (\d{1,4} ?[a-z]?(?:/\d{1,3})?)(?![\w/])", re.I)
+_DE_END = re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|allee|gasse|platz|ring|damm|ufer|markt) (\d+ ?[a-z]?(?:/\d+)?)(?![\w/])", re.I)
 _DE_LEFT = re.compile(rf"(?:(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|AM) (?:[{_U}][\w-]* )*)?[{_U}][\w-]*$|(?:(?:Am|An der|Im|In der|Zum|Zur|AM) )(?:[{_U}][\w-]* )+$")
 _NUMBER = re.compile(r"[0-9]+")
 _AFTER_HOUSE = frozenset(" ,/abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _STREET_FIRST = frozenset("raqbpcit")
-_FR_ANCHOR = re.compile(r"[rRaAqQbBpPcCiI](?:ue|UE|venue|VENUE|uai|UAI|oulevard|OULEVARD|lace|LACE|hemin|HEMIN|mpasse|MPASSE|llée|LLÉE|ours|OURS|assage|ASSAGE) ")
+_FR_ANCHOR = re.compile(r"[rRaAqQbBpPcCiI](?:ue|UE|venue|VENUE|uai|UAI|oulevard|OULEVARD|lace|LACE|hemin|HEMIN|mpasse|MPASSE|llée|LLÉE|ours|OURS|assage|ASSAGE) |\b(?:[cC]alle|[aA]venida|[pP]laza|[pP]aseo|[vV]iale?|[pP]iazza|[cC]orso) ")
 _DE_TAILS = ("ße ", "sse ", "tr. ", "weg ", "lee ", "atz ", "ring ", "amm ", "fer ", "rkt ")
-_ADDRESS_LEFT = re.compile(r"(?:resid(?:es|ing|ent) (?:at|in)|lives at|living at|demeurant|domiciliée? (?:au|à)?|wohnhaft(?: in)?|was left at|served at|address(?:ed)?:?|[Aa]nschrift:?|[Aa]dresse:?|, of|habite(?: au)?) $")
+_ADDRESS_LEFT = re.compile(r"\b(?:resid\w*|lives?|living|demeur\w*|domicili\w*|wohn\w*|served|delivered|left|address\w*|anschrift|adresse|habit\w*|of|sis\w*)(?: (?:at|in|au|à|is|ist|est|on))?:?,? $", re.I)
 _ADDRESS_PARTY = re.compile(r"(?:[^\W\d_]{1,}\.?|[\])█…_X]), $")
 _ADDRESS_RIGHT = re.compile(rf",? (?:near [{_U}]|in [{_U}]|à [{_U}])|, (?:\d{{4,5}} )?[{_U}]|,? (?:Claimant|Respondent|Demandeu|Défend|Kläger|Beklagt)")
 _COURT_LEFT = re.compile(rf"(?:Hall of Justice|Palace of Justice|Court ?[Hh]ouse|(?:Court|Tribunal|Gericht|Cour|Registry)(?: of| de| d'appel de)?(?: Appeal of)? [{_U}][\w-]+), $")
@@ -91,25 +90,20 @@ _PARTICLE_LEFT = re.compile(rf"(?<![\w'’-]){_PARTICLE} $")
 _TITLE_WORD = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Me|Mme|Mlle|Frau|Herrn?|Justice|Lord|Lady|Sir|Maître|Madame|Monsieur)"
 _TITLE = re.compile(rf"(?<![\w'’-]){_TITLE_WORD}\.? $")
 _TITLED = re.compile(rf"(?<![\w'’-])(?:Mr|Mrs|Ms|Dr|Mme|Mlle|Frau|Herrn?)\.? (?:{_PARTICLE} )?([{_U}][\w'’]+(?:-[{_U}][\w'’]+)*)")
-_SIGNED = re.compile(rf"(?:([{_U}][\w'’-]+) (?:([{_U}])\. )?)(?:{_PARTICLE} )?([{_U}][\w'’]+(?:-[{_U}][\w'’]+)*), (?:Claimant|Respondent|Registrar|Judge|presiding|Demandeu|Défendeu|Kläger|Beklagt|président|Vorsitz|appearing|who kept|demeurant|wohnhaft)")
+_SIGNED = re.compile(rf"(?:([{_U}][\w'’-]+) (?:([{_U}])\. )?)(?:{_PARTICLE} )?([{_U}][\w'’]+(?:-[{_U}][\w'’]+)*), (?:Claimant|Respondent|Applicant|Appellant|Registrar|Judge|presiding|appearing|Demandeu|Défendeu|Appelant|Intimé|président|Kläger|Beklagt|Vorsitz|Richter|demeurant|wohnhaft|residing)")
 _PARTICLE_ENDS = frozenset(("de ", "an ", "on ", "di ", "el ", "er ", "zu "))
 _GIVEN_RIGHT = re.compile(rf", ([^\W\d_][\w’]*(?:-[^\W\d_][\w’]+)?)(?: ([{_U}]\.))?(?![\w])")
 _INITIAL_RIGHT = re.compile(rf", ([{_U}]\.)(?![\w])")
-_ROLE_LEFT = re.compile(
-    r"(?:[Ww]itness(?:es)?|[Cc]ounsel for|judge below,|between|[Cc]laimant:|[Rr]espondent:|[Aa]pplicant:|and rejected that of|evidence of|differs from that of|conveyed to|summons for|attorney of [\d/.]+,|the event;|party,|"
-    r"entre|[Dd]emandeu(?:r|resse):|[Dd]éfendeu(?:r|resse):|[Tt]émoin|a plaidé|donné à|procès-verbal,|Signé :|notamment|"
-    r"in der Sache|gegen|Zeugin|Zeuge|Zeugen|erschien|Bevollmächtigt war|Protokolls erklärte|gez\.|Vollmacht für|"
-    r"— [A-Z]-\d{4}-\d+ —| /) $"
-)
-_ROLE_RIGHT = re.compile(
-    r"(?:,? (?:Claimant|Respondent|Applicant|Registrar|presiding judge|Judge|Demandeu|Défendeu|Kläger|Beklagt|président|Vorsitz|demeurant|wohnhaft|appearing for|who kept|had held|of \d)|"
-    r" (?:did not|submits|stated|conceded|resides|was authorised|is ordered|soutient|a déclaré|a reconnu|par acte|trägt vor|hat ausgesagt|gemäß Vollmacht|has|had|kept)|['’]s account|, man habe)"
-)
-_ROLED = re.compile(rf"{_ROLE_LEFT.pattern[:-1]}(?:{_PARTICLE} |[{_U}]\. )?([{_U}][\w'’]+)")
+_ROLE = r"(?:witness(?:es)?|counsel(?: for)?|claimant|respondent|applicant|appellant|plaintiff|defendant|petitioner|registrar|clerk|judge|justice|presiding|attorney|solicitor|barrister|between|evidence of|demandeu(?:r|resse)|défendeu(?:r|resse)|appelante?|intimée?|requérante?|témoin|avocate?|greffi(?:er|ère)|juge|présidente?|entre|plaidé|notamment|procès-verbal|signé|signed|kläger(?:in)?|beklagter?|antragsteller(?:in)?|zeug(?:e|in|en)|richter(?:in)?|vorsitz\w*|gegen|sache|bevollmächtigt\w*|vollmacht|rechtsanw\w+|gez\.)"
+_ROLE_LEFT = re.compile(rf"(?:\b{_ROLE}(?: war| a| below| für| for| of| de)?[ ,:]{{1,3}}|\b(?:erklärte|sagte|behauptete|said|says|déclare|soutient) |[—/] )$", re.I)
+_SAYS = r"(?:did|does|submit\w*|state[sd]|stated|conced\w*|resid\w*|testif\w*|argue\w*|sa(?:id|ys)|told|den(?:y|ies|ied)|claim(?:s|ed)|maintain\w*|admit\w*|appear\w*|is|was|has|had|soutient|a déclaré|a reconnu|affirm\w*|déclare|conteste|par acte|trägt|hat|habe|erklärt\w*|behaupt\w*|bestreit\w*|gemäß|wohn\w*|demeur\w*)"
+_ROLE_RIGHT = re.compile(rf"(?:,? {_ROLE}\b| {_SAYS}\b|, (?:demeur|wohn|resid|domicil|of \d)|['’]s (?:account|evidence|claim|statement))", re.I)
+_ROLED = re.compile(rf"(?i:\b{_ROLE}(?: war| a| below| für| for| of| de)?[ ,:]{{1,3}})(?:{_PARTICLE} |[{_U}]\. )?([{_U}][\w'’]+)")
 _CASE_RIGHT = re.compile(r" (?:v\.?|vs\.?) [\w\[(█]")
-_FIRM_RIGHT = re.compile(
-    rf"(?: (?:and|&|et|und) (?:Sons?|Fils|Söhne|Partners|Co)\b| & [{_U}]|(?: [{_U}][\w-]+)? (?:Estates?|Holdings?|Foundry|Textiles|Logistics|Dair(?:y|ies)|Marine|Mutual|Freight|Glassworks|Ltd|plc|PLC|SA|S\.A\.|GmbH|AG|SARL|LLP|Inc|Bank|Trust|Works|Mills?|Brothers|Partners)\b)"
-)
+_LEGAL = r"(?:Ltd|Limited|plc|PLC|SA|S\.A\.|GmbH|AG|KG|SARL|SAS|LLP|LLC|Inc|Corp|Co|Bank|Trust|Holdings?|Group|Partners|Brothers)"
+_FIRM_RIGHT = re.compile(rf" (?:and|&|et|und) (?:Sons?|Fils|Söhne|Partners|Co)\b| & [{_U}]|(?: [{_U}][\w-]+)?(?: (?:and|&) [{_U}][\w-]+)? {_LEGAL}\b")
+_FIRM_WORD = re.compile(rf"(?<= )([{_U}][\w-]+) {_LEGAL}\b")
+_NEXT_WORD = re.compile(rf" ([{_U}][\w-]+)")
 _PLACE_RIGHT = re.compile(rf"(?: [{_U}][\w-]+)? (?:Bridge|Act|Acts|Rules|Code|Ordinance|Regulations?|{_EN_TYPE}|Quay|Park|Mill|Station)\b|[- ]?(?:straße|brücke|gesetz|platz)")
 _PLACE_LEFT = re.compile(r"(?:(?:Court|COURT|Tribunal|TRIBUNAL)(?: of| OF| Of)(?: Appeal of)?|APPEAL OF|\d{5}|, à| near| in|(?:rue|avenue|quai|place)(?: d[eu]s?)?) $")
 _TOWN = re.compile(r"(?:(?:District Court|Court of Appeal|High Court|Labour Tribunal|DISTRICT COURT|COURT OF APPEAL|HIGH COURT|LABOUR TRIBUNAL) (?:of|OF)) ([^\W\d_]+)")
@@ -119,17 +113,14 @@ def _vote(*pairs: tuple[bool, int]) -> tuple[int, ...]:
     return tuple(v if hit else 0 for hit, v in pairs)
 
 
-#: Labelers of each kind in the order of the votes: name, vote, reliability believed before EM.
+#: Labelers of each kind in the order of the votes: name, vote. How far each is to be believed is estimated.
 LABELERS = {
-    "email": (("format", 1, 0.9), ("context", 1, 0.8), ("trap", -1, 0.98)),
-    "phone": (("format", 1, 0.6), ("left context", 1, 0.95), ("right context", 1, 0.9), ("trap", -1, 0.98), ("date", -1, 0.95), ("no context", -1, 0.9)),
-    "id": (("format", 1, 0.6), ("left context", 1, 0.95), ("right context", 1, 0.8), ("trap", -1, 0.98), ("date", -1, 0.95), ("no context", -1, 0.9)),
-    "address": (("format", 1, 0.55), ("left context", 1, 0.95), ("after a name", 1, 0.8), ("right context", 1, 0.7), ("court", -1, 0.99)),
-    "name": (("title", 1, 0.95), ("left role", 1, 0.8), ("right role", 1, 0.8), ("form", 1, 0.8), ("in document", 1, 0.7), ("gazetteer", 1, 0.55), ("case", -1, 0.99), ("firm", -1, 0.99), ("place", -1, 0.99)),
+    "email": (("format", 1), ("context", 1), ("trap", -1)),
+    "phone": (("format", 1), ("left context", 1), ("right context", 1), ("trap", -1), ("date", -1), ("other kind", -1), ("no context", -1)),
+    "id": (("format", 1), ("left context", 1), ("right context", 1), ("trap", -1), ("date", -1), ("other kind", -1), ("no context", -1)),
+    "address": (("format", 1), ("left context", 1), ("after a name", 1), ("right context", 1), ("court", -1)),
+    "name": (("title", 1), ("left role", 1), ("right role", 1), ("form", 1), ("in document", 1), ("gazetteer", 1), ("case", -1), ("firm", -1), ("place", -1), ("lower case", -1)),
 }
-#: Log odds of a candidate without any vote.
-BIAS = -0.5
-
 
 class _Memo(dict):
     """Word -> its class, worked out when first asked for; emptied when it is full."""
@@ -148,12 +139,13 @@ class _Memo(dict):
 
 
 class Gazetteers:
-    """Surnames, given names and towns met in sure contexts, and the parts that names are made of."""
+    """Surnames, given names, towns and words of firms met in sure contexts, and the parts that names are made of."""
 
-    def __init__(self, surnames: Counter, given: Counter, towns: Counter):
+    def __init__(self, surnames: Counter, given: Counter, towns: Counter, firms: Counter):
         self.towns = {t for t, n in towns.most_common(GAZETTEER)}
         self.surnames = {s for s, n in surnames.most_common(GAZETTEER) if s not in self.towns}
         self.given = {g for g, n in given.most_common(GAZETTEER) if g not in self.towns}
+        self.firms = {f for f, n in firms.most_common(GAZETTEER) if f not in self.surnames and f not in self.given}
         self.surname_parts, self.given_parts = self._parts(self.surnames), self._parts(self.given)
         self.memo, self.given_memo = _Memo(self.surname), _Memo(self.is_given)
 
@@ -194,7 +186,7 @@ def _bare(part: str) -> str:
 
 
 def _mentions(texts) -> Counter:
-    """How often each (kind, word, surname) stands in sure contexts: titled surnames, towns, and given names of signed full names."""
+    """How often each (kind, word, surname) stands in sure contexts: titled surnames, towns, words before a firm's legal form, and given names of signed full names."""
     seen: Counter = Counter()
     for text in texts:
         for m in _TITLED.finditer(text):
@@ -203,24 +195,25 @@ def _mentions(texts) -> Counter:
                 if len(set(bare)) > 2:  # not a blackened name
                     seen["surname", bare, ""] += 1
         seen.update(("town", t.lower(), "") for t in _TOWN.findall(text))
+        seen.update(("firm", w.lower(), "") for w in _FIRM_WORD.findall(text))
         for m in _SIGNED.finditer(text):
             if len(m.group(1)) > 1:
                 seen["given", m.group(1).lower(), "-".join(_bare(p) for p in m.group(3).lower().split("-"))] += 1
     return seen
 
 
-def _gazetteers(surnames: Counter, given: Counter, towns: Counter) -> Gazetteers:
-    return Gazetteers(surnames, Counter({g: n for g, n in given.items() if n > 1}) or given, towns)
+def _gazetteers(surnames: Counter, given: Counter, towns: Counter, firms: Counter) -> Gazetteers:
+    return Gazetteers(surnames, Counter({g: n for g, n in given.items() if n > 1}) or given, towns, firms)
 
 
 def gather_gazetteers(texts: list[str]) -> Gazetteers:
     seen = _mentions(texts)
-    surnames, towns = (Counter({w: n for (k, w, _), n in seen.items() if k == kind}) for kind in ("surname", "town"))
+    surnames, towns, firms = (Counter({w: n for (k, w, _), n in seen.items() if k == kind}) for kind in ("surname", "town", "firm"))
     given: Counter = Counter()
     for (kind, word, last), n in seen.items():
         if kind == "given" and all(p in surnames for p in last.split("-")):
             given[word] += n
-    return _gazetteers(surnames, given, towns)
+    return _gazetteers(surnames, given, towns, firms)
 
 
 def corpus_gazetteers(docs: DataFrame, column: str = "text") -> Gazetteers:
@@ -241,7 +234,7 @@ def corpus_gazetteers(docs: DataFrame, column: str = "text") -> Gazetteers:
     signed = seen.where("kind = 'given'")
     unsure = signed.select("word", "last", F.explode(F.split("last", "-")).alias("part")).join(surnames.select(F.col("word").alias("part")), "part", "left_anti").select("word", "last").distinct()
     given = signed.join(unsure, ["word", "last"], "left_anti").groupBy("word").agg(F.sum("n").alias("n"))
-    return _gazetteers(most(surnames), most(given), most(seen.where("kind = 'town'")))
+    return _gazetteers(most(surnames), most(given), most(seen.where("kind = 'town'")), most(seen.where("kind = 'firm'")))
 
 
 class Candidate:
@@ -264,26 +257,28 @@ def _emails(text: str) -> list[Candidate]:
     if " dot " in text or " DOT " in text:
         marks = sorted([*marks, *_AT_DOT.finditer(text)], key=lambda m: m.start())
     for m in marks:
-        left = text[max(0, m.start() - 80) : m.start()]
-        spaced = left.endswith(" ")
-        local = _LOCAL.search(left.rstrip(" ") if spaced else left)
+        stop = m.start()
+        spaced = stop > 0 and text[stop - 1] == " "
+        stop -= spaced
+        start = stop
+        while start and _LOCAL.match(text[start - 1]):  # as long as it is
+            start -= 1
+        while start < stop and text[start] in ".'-":
+            start += 1
         domain = _DOMAIN.match(text, m.end())
-        if not local or not domain:
+        if start == stop or not (text[stop - 1].isalnum() or text[stop - 1] in "+_") or not domain:
             continue
-        start = max(0, m.start() - 80) + local.start()
-        start += len(local.group(0)) - len(local.group(0).lstrip(".'-"))
         end = domain.end()
         odd = m.group(0) != "@" or spaced or "dot" in text[m.end() : end].lower()
-        before = text[max(0, start - 26) : start]
-        context = bool(re.search(r"(?:mailto:|mail:? |sent to |message from |adressée à |erfolgte an |contact:? |[<(])$", before))
-        trap = text[m.start() - 1 : m.start()] in ("", " ") and text[m.end() : m.end() + 1] == " " and text[start : start + 1].isdigit()
+        context = bool(_MAIL.search(text, max(0, start - 26), start))
+        trap = spaced and text[m.end() : m.end() + 1] == " " and text[start : start + 1].isdigit()
         if found and start < found[-1].end:
             continue
         found.append(Candidate("email", start, end, _vote((True, 1), (context, 1), (trap, -1)), ("spelled out" if odd else "plain", *_near(text, start, end))))
     return found
 
 
-def _numbers(text: str, decisive: frozenset = frozenset()) -> list[Candidate]:
+def _numbers(text: str) -> list[Candidate]:
     found = []
     done = 0
     spans = [(m.start(), m.end(), False) for m in _DIGITS.finditer(text)]
@@ -291,10 +286,6 @@ def _numbers(text: str, decisive: frozenset = frozenset()) -> list[Candidate]:
     for s, e, letters in sorted(spans):
         if s < done or (s and (text[s - 1].isalnum() or text[s - 1] in "_@.,/-")):
             continue
-        left = text[max(0, s - 44) : s]
-        trap = bool(_NUMBER_TRAP.search(left[-24:]))
-        if trap and ("phone", "trap") in decisive and ("id", "trap") in decisive:
-            continue
         ends = {"phone": 0, "id": e if letters else 0}
         if not letters:
             at = s
@@ -303,11 +294,12 @@ def _numbers(text: str, decisive: frozenset = frozenset()) -> list[Candidate]:
                     if m := pattern.match(text, at):
                         ends[kind] = m.end()
                 if ends["phone"] or ends["id"]:
-                    s, left = at, text[max(0, at - 44) : at]
+                    s = at
                     break
                 at = text.find(" ", at, e) + 1 or -1
         formed = {k: bool(v) for k, v in ends.items()}
-        phone_left = bool(_PHONE_LEFT.search(left[-20:]))
+        near = max(0, s - 40, text.rfind(". ", max(0, s - 40), max(0, s - 2)) + 1)  # within the sentence, about; "no. 5" is no end
+        phone_left, id_left = bool(_PHONE_WORD.search(text, near, s)), bool(_ID_WORD.search(text, near, s))
         date = bool(_DATE.match(text, s))
         if phone_left and not formed["phone"] and not formed["id"] and not date:
             loose = _LOOSE.match(text, s)
@@ -315,15 +307,17 @@ def _numbers(text: str, decisive: frozenset = frozenset()) -> list[Candidate]:
         kinds = [k for k in ("phone", "id") if ends[k]]
         if not kinds:
             continue
-        id_left = bool(_ID_LEFT.search(left))
+        trap = bool(_NUMBER_TRAP.search(text, max(0, s - 34), s))
         for kind in kinds:
             end = ends[kind]
+            stop = text.find(". ", end, end + 30)
+            after = end, stop if stop >= 0 else end + 30
             own_left, other = (phone_left, id_left) if kind == "phone" else (id_left, phone_left)
-            own_right = bool((_PHONE_RIGHT if kind == "phone" else _ID_RIGHT).match(text, end))
-            if other and not own_left:
-                continue
+            own_right = bool((_PHONE_WORD if kind == "phone" else _ID_WORD).search(text, *after))
             shape = re.sub(r"[A-Z]+", "A", re.sub(r"\d+", "0", text[s:end])[:18])
-            found.append(Candidate(kind, s, end, _vote((formed[kind], 1), (own_left, 1), (own_right, 1), (trap, -1), (date, -1), (not own_left and not own_right, -1)), (shape, *_near(text, s, end))))
+            both = len(kinds) == 2
+            votes = _vote((formed[kind] and not both, 1), (own_left, 1), (own_right, 1), (trap, -1), (date, -1), (other and not own_left, -1), (not own_left and not own_right, -1))
+            found.append(Candidate(kind, s, end, votes, (shape, *_near(text, s, end))))
             if own_left or own_right:
                 done = max(done, end)
     return found
@@ -333,11 +327,11 @@ def _addresses(text: str) -> list[Candidate]:
     spans = []
     for m in _NUMBER.finditer(text):
         p, e = m.span()
-        if e - p > 4 or (p and text[p - 1] not in " (\n:"):
+        if p and text[p - 1] not in " (\n:":
             continue
         if text[p - 5 : p].lower().endswith(_DE_TAILS):
             before = text[max(0, p - 60) : p]
-            end = _DE_END.search(before + text[p : p + 12], max(0, len(before) - 9))
+            end = _DE_END.search(before + text[p : e + 12], max(0, len(before) - 9))
             left = _DE_LEFT.search(before[: end.start()]) if end else None
             if left:
                 spans.append((p - len(before) + left.start(), p - len(before) + end.end()))
@@ -361,7 +355,7 @@ def _addresses(text: str) -> list[Candidate]:
     return found
 
 
-def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]], decisive: frozenset = frozenset()) -> list[Candidate]:
+def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]]) -> list[Candidate]:
     memo = g.memo
     given = g.given_memo
     anchors, at = [], 0
@@ -385,7 +379,6 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]], decisive: fro
     starts = [t[0] for t in taken]
     rough = []
     people: dict[str, set[str]] = {}
-    sure = {k: ("name", k) in decisive for k in ("case", "firm", "place")}
     done = -1
     for s, e, word in anchors:
         if s < done:
@@ -394,8 +387,6 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]], decisive: fro
         if k >= 0 and taken[k][1] > s:
             continue
         after = text[e : e + 1]
-        if after == " " and (sure["firm"] and _FIRM_RIGHT.match(text, e) or sure["case"] and _CASE_RIGHT.match(text, e)):
-            continue
         if text[s - 3 : s].lower() in _PARTICLE_ENDS and (m := _PARTICLE_LEFT.search(text[max(0, s - 6) : s])):
             s = max(0, s - 6) + m.start()
         begin, end, form, initial = s, e, "alone", ""
@@ -418,18 +409,22 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]], decisive: fro
         key = text[s:e].lower()
         rough.append((begin, s, e, end, form, initial, word, key))
     french = " le " in text and (" soutient " in text or " demeurant " in text or "Demandeu" in text or " témoin " in text or " procès-verbal" in text)
+
+    def of_firm(begin: int, end: int) -> bool:
+        """Is it followed by what firms have after a name, or preceded by an ampersand?"""
+        if text[max(0, begin - 2) : begin] == "& " or _FIRM_RIGHT.match(text, end):
+            return True
+        following = _NEXT_WORD.match(text, end)
+        return bool(following) and following.group(1).lower() in g.firms
+
     for begin, s, e, end, form, initial, word, key in rough:
-        if form in ("full", "last first") and not (_FIRM_RIGHT.match(text, end) or text[max(0, begin - 2) : begin] == "& "):
+        if form in ("full", "last first") and not of_firm(begin, end):
             people.setdefault(key, set()).add(initial)
     found = []
     for begin, s, e, end, form, initial, word, key in rough:
-        firm = bool(_FIRM_RIGHT.match(text, end)) or text[max(0, begin - 2) : begin] == "& "
-        if firm and sure["firm"]:
-            continue
+        firm = of_firm(begin, end)
         left = text[max(0, begin - 48) : begin]
         case = left.endswith((" v ", " v. ", " vs. ", " vs ", " c. ")) or bool(_CASE_RIGHT.match(text, end))
-        if case and sure["case"]:
-            continue
         titled = bool(_TITLE.search(left[-10:]))
         if form == "initial" and french and initial == "M":
             # in French, M. is a title unless the place is one where a full name stands and nobody's initial differs
@@ -439,20 +434,14 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]], decisive: fro
             if spoken or not known_m or not (role or _ROLE_RIGHT.match(text, end)):
                 begin, form, titled = s, "alone", True
         place = bool(_PLACE_RIGHT.match(text, end) or (form == "alone" and _PLACE_LEFT.search(left[-30:])))
-        if place and sure["place"] or word.islower() and form == "alone":
-            continue
-        votes = _vote((titled, 1), (bool(_ROLE_LEFT.search(left[-32:])), 1), (bool(_ROLE_RIGHT.match(text, end)), 1), (form != "alone", 1), (key in people, 1), (memo[word] == 2, 1), (case, -1), (firm, -1), (place, -1))
+        votes = _vote((titled, 1), (bool(_ROLE_LEFT.search(left[-32:])), 1), (bool(_ROLE_RIGHT.match(text, end)), 1), (form != "alone" or titled, 1), (key in people, 1), (memo[word] == 2, 1), (case, -1), (firm, -1), (place, -1), (word.islower() and form == "alone", -1))
         shape = form + ("^" if word.isupper() else "_" if word.islower() else "")
         found.append(Candidate("name", begin, end, votes, (shape, *_near(text, begin, end))))
     return found
 
 
-def candidates(text: str, g: Gazetteers, decisive: frozenset = frozenset()) -> list[Candidate]:
-    """The candidate spans of a text whose white space runs are single spaces.
-
-    Spans on which a labeler of ``decisive`` fires are left out; a model names there the
-    labelers whose vote has always led to a rejection.
-    """
+def candidates(text: str, g: Gazetteers) -> list[Candidate]:
+    """The candidate spans of a text whose white space runs are single spaces; none is decided on here."""
     found = _emails(text)
     taken = [(c.start, c.end) for c in found]
 
@@ -462,37 +451,54 @@ def candidates(text: str, g: Gazetteers, decisive: frozenset = frozenset()) -> l
         k = bisect_right(first, c.start)
         return not (k and taken[k - 1][1] > c.start) and not (k < len(taken) and taken[k][0] < c.end)
 
-    numbers = [c for c in _numbers(text, decisive) if free(c)] if taken else _numbers(text, decisive)
+    numbers = [c for c in _numbers(text) if free(c)] if taken else _numbers(text)
     addresses = [c for c in _addresses(text) if free(c)] if taken else _addresses(text)
     found += numbers + addresses
-    return found + _names(text, g, sorted(taken + [(c.start, c.end) for c in addresses]), decisive)
+    return found + _names(text, g, sorted(taken + [(c.start, c.end) for c in addresses]))
+
+
+class Reliabilities:
+    """How often each labeler votes on true and on false candidates of a kind, and how many are true."""
+
+    def __init__(self, share: float, on_true: np.ndarray, on_false: np.ndarray):
+        self.share, self.on_true, self.on_false = share, on_true, on_false
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Chance that a candidate is true; a labeler that abstains counts as well."""
+        fired = votes != 0
+        odds = math.log(self.share / (1 - self.share)) + fired @ np.log(self.on_true / self.on_false) + ~fired @ np.log((1 - self.on_true) / (1 - self.on_false))
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def fit_reliabilities(kind: str, patterns: Counter, rounds: int = 60) -> tuple[np.ndarray, dict]:
-    """EM over vote patterns: (reliability of each labeler, posterior of each pattern).
+def fit_reliabilities(kind: str, patterns: Counter, rounds: int = 200, weight: float = 2.0) -> tuple[Reliabilities, dict]:
+    """EM over vote patterns, without labelled data: (what is estimated, posterior of each pattern).
 
-    A reliability is the chance that a vote is right; a labeler that abstains says nothing. The
-    beliefs of ``LABELERS`` enter as half as many seen votes as there are, so votes that others
-    contradict lose weight and labelers cannot all turn round together.
+    No labeler is believed more than another beforehand: the first posteriors are majority votes. Then the share
+    of true candidates and how often each labeler votes on true and on false ones are estimated in
+    turn with the posteriors, until these rest. A labeler cannot turn round: where it would, its votes say nothing.
+    ``weight`` candidates of either sort with the labeler's overall rate are added, so no rate is 0 or 1.
     """
     keys = list(patterns)
-    x = np.array(keys, float)
+    votes = np.array(keys, float)
     n = np.array([patterns[k] for k in keys], float)
-    fired = x != 0
-    belief = np.array([b for _, _, b in LABELERS[kind]])
-    seen = n @ fired
-    right = belief.copy()
-    post = np.zeros(len(keys))
+    n = np.sqrt(n)  # repeated boilerplate does not drown the rest
+    fired = votes != 0
+    sign = np.array([v for _, v in LABELERS[kind]])
+    overall = (n @ fired + 0.5) / (n.sum() + 1)
+    post = 1 / (1 + np.exp(-1.5 * votes.sum(1)))
+    found = Reliabilities(0.5, overall, overall)
     for _ in range(rounds):
-        new = 1 / (1 + np.exp(-np.clip(BIAS + x @ np.log(right / (1 - right)), -30, 30)))
-        agree = n @ np.where(x > 0, new[:, None], np.where(x < 0, 1 - new[:, None], 0.0))
-        strength = 0.5 * seen + 1.0
-        right = np.clip((agree + strength * belief) / (seen + strength), 0.5, 0.995)
+        true, false = n * post, n * (1 - post)
+        on_true, on_false = (true @ fired + weight * overall) / (true.sum() + weight), (false @ fired + weight * overall) / (false.sum() + weight)
+        turned = np.where(sign > 0, on_true < on_false, on_true > on_false)
+        on_true, on_false = np.where(turned, overall, on_true), np.where(turned, overall, on_false)
+        found = Reliabilities(float((true.sum() + 1) / (n.sum() + 2)), on_true, on_false)
+        new = found.posterior(votes)
         moved = np.abs(new - post).max()
         post = new
         if moved < 1e-6:
             break
-    return right, dict(zip(keys, post.tolist()))
+    return found, dict(zip(keys, post.tolist()))
 
 
 def _slot(text: str) -> int:
@@ -513,13 +519,6 @@ class Model:
     def __init__(self, gazetteers: Gazetteers, weights: np.ndarray, report: dict):
         self.gazetteers, self.weights, self.report = gazetteers, weights, report
         self._memo: dict = {}
-        decisive = set()
-        for kind, r in report.items():
-            for i, (name, vote, _) in enumerate(LABELERS[kind]):
-                hit = [q for p, (_, q) in r["patterns"].items() if p[i]]
-                if vote < 0 and hit and max(hit) < 0.3:
-                    decisive.add((kind, name))
-        self.decisive = frozenset(decisive)
 
     def accept(self, c: Candidate) -> bool:
         key = (c.kind, c.votes, c.features)
@@ -532,7 +531,7 @@ class Model:
         return got
 
     def find(self, text: str) -> list[Candidate]:
-        return [c for c in candidates(text, self.gazetteers, self.decisive) if self.accept(c)]
+        return [c for c in candidates(text, self.gazetteers) if self.accept(c)]
 
 
 def fit(texts: list[str], steps: int = 400, gazetteers: Gazetteers | None = None) -> Model:
@@ -551,15 +550,15 @@ def fit(texts: list[str], steps: int = 400, gazetteers: Gazetteers | None = None
             patterns[votes] += n
         if not patterns:
             continue
-        right, post = fit_reliabilities(kind, patterns)
-        report[kind] = {"labelers": {name: float(right[i]) for i, (name, _, _) in enumerate(LABELERS[kind])}, "patterns": {k: (n, post[k]) for k, n in patterns.items()}}
+        found, post = fit_reliabilities(kind, patterns)
+        report[kind] = {"share": found.share, "labelers": {name: (float(found.on_true[i]), float(found.on_false[i])) for i, (name, _) in enumerate(LABELERS[kind])}, "patterns": {k: (n, post[k]) for k, n in patterns.items()}}
         # votes that the sample does not show, alone and in pairs, with what their reliabilities say
         width = len(LABELERS[kind])
         for i in range(width):
             for j in range(i, width):
-                votes = tuple(v if k in (i, j) else 0 for k, (_, v, _) in enumerate(LABELERS[kind]))
+                votes = tuple(v if k in (i, j) else 0 for k, (_, v) in enumerate(LABELERS[kind]))
                 if votes not in post:
-                    post[votes] = float(1 / (1 + np.exp(-(BIAS + np.dot(votes, np.log(right / (1 - right)))))))
+                    post[votes] = float(found.posterior(np.array([votes], float))[0])
                     rows.append(((kind, votes, ("", "", "")), 1))
         slots = [_slots(*k) for k, _ in rows]
         row = np.repeat(np.arange(len(rows)), [len(s) for s in slots])
@@ -578,10 +577,10 @@ def fit(texts: list[str], steps: int = 400, gazetteers: Gazetteers | None = None
 
 
 def fit_on(docs: DataFrame, key: str = "doc_id", column: str = "text", most: int = FIT_DOCUMENTS) -> Model:
-    """Fit on the documents whose hashed id is lowest, about ``most`` and never more, with the gazetteers of all; the same ones each time."""
+    """Fit on the documents whose hashed id is lowest, about ``most`` and never more, none longer than ``FIT_LONGEST``, with the gazetteers of all; the same ones each time."""
     total = docs.count()
     code = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(2**32))
-    rows = docs.where(F.col(column).isNotNull()).select(code.alias("code"), key, column)
+    rows = docs.where(F.length(column) <= FIT_LONGEST).select(code.alias("code"), key, column)
     if total > most:
         rows = rows.where(F.col("code") < int(2**32 * 0.95 * most / total))
     return fit([r[2] for r in rows.orderBy("code", key).limit(most).collect()], gazetteers=corpus_gazetteers(docs, column))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from cellweave.llm import pii
@@ -88,11 +90,52 @@ def test_placeholders_stand_where_findings_stood(model, lead, gap):
 
 
 def test_em_trusts_labelers_that_agree():
-    from collections import Counter
-
     patterns = Counter({(1, 1, 0): 500, (1, 0, 0): 100, (0, 0, -1): 400, (1, 0, -1): 30})
-    right, post = pii.fit_reliabilities("email", patterns)
-    assert post[1, 1, 0] > 0.95 and post[0, 0, -1] < 0.05 and post[1, 0, -1] < 0.5 and ((right >= 0.5) & (right < 1)).all()
+    rates, post = pii.fit_reliabilities("email", patterns)
+    assert post[1, 1, 0] > 0.95 and post[0, 0, -1] < 0.05 and post[1, 0, -1] < 0.5
+    assert 0 < rates.share < 1 and ((rates.on_true > 0) & (rates.on_true < 1)).all() and (rates.on_true[:2] >= rates.on_false[:2]).all()
+
+
+def test_em_decides_against_the_majority():
+    """Two votes for a name and one against: who is right follows from how the labelers vote elsewhere, not from their number."""
+    name = [n for n, _ in pii.LABELERS["name"]]
+
+    def votes(*which):
+        return tuple(v if n in which else 0 for n, v in pii.LABELERS["name"])
+
+    torn = votes("in document", "gazetteer", "firm")
+    sure_firm = Counter({votes("title", "form", "right role", "gazetteer", "in document"): 900, votes("gazetteer", "firm"): 700, votes("firm"): 300, torn: 200})
+    loose_firm = Counter({votes("form", "in document", "gazetteer"): 400, votes("form", "in document", "gazetteer", "firm"): 500, votes("in document", "gazetteer"): 300, votes("case"): 900, votes("case", "gazetteer"): 300, torn: 100})
+    assert len(name) == len(torn)
+    assert pii.fit_reliabilities("name", sure_firm, rounds=0)[1][torn] == pii.fit_reliabilities("name", loose_firm, rounds=0)[1][torn] > 0.5
+    assert pii.fit_reliabilities("name", sure_firm)[1][torn] < 0.1 and pii.fit_reliabilities("name", loose_firm)[1][torn] > 0.9
+
+
+def test_no_candidate_is_dropped_before_the_classifier(model):
+    seen = []
+    real = model.accept
+    model.accept = lambda c: seen.append(c) or real(c)
+    try:
+        found(model, "Fenaux & Ostelin Textiles SA and fenaux and Vorskeld v. Belaux and file number 930918-1312 and 1.2.2001")
+    finally:
+        del model.accept
+    votes = {(c.kind, name) for c in seen for (name, _), v in zip(pii.LABELERS[c.kind], c.votes) if v < 0}
+    assert {("name", "firm"), ("name", "case"), ("name", "lower case"), ("id", "trap")} <= votes
+
+
+@pytest.mark.parametrize(
+    "sentence,expected",
+    [
+        ("Write to " + "x" * 111 + "y@ostnet.test soon", {("email", "x" * 111 + "y@ostnet.test")}),
+        ("Tel. +1 (415) 555-2671 was given", {("phone", "+1 (415) 555-2671")}),
+        ("Yakko Belaux resides at 123456 Tern Lane, Eldham", {("name", "Yakko Belaux"), ("address", "123456 Tern Lane")}),
+        ("Yakko Belaux resides at Calle Mayor 12, Eldham", {("name", "Yakko Belaux"), ("address", "Calle Mayor 12")}),
+        ("Yakko Belaux, wohnhaft Lindenstraße 23456, 28381 Grauenau", {("name", "Yakko Belaux"), ("address", "Lindenstraße 23456")}),
+        ("Mr Qwertzuiopel stated that it was so", {("name", "Qwertzuiopel")}),
+    ],
+)
+def test_beyond_former_limits(model, sentence, expected):
+    assert found(model, sentence) == expected
 
 
 def test_names_that_the_sample_lacks(spark, model):
@@ -102,5 +145,5 @@ def test_names_that_the_sample_lacks(spark, model):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     whole = pii.corpus_gazetteers(df)
     one = pii.gather_gazetteers([" ".join(t.split()) for _, t in rows])
-    assert "jbrandwik" in whole.surnames and (whole.surnames, whole.given, whole.towns) == (one.surnames, one.given, one.towns)
+    assert "jbrandwik" in whole.surnames and (whole.surnames, whole.given, whole.towns, whole.firms) == (one.surnames, one.given, one.towns, one.firms)
     assert "jbrandwik" in pii.fit_on(df, most=5).gazetteers.surnames
