@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.functions.index import normalize_column_indices, normalize_row_indices
 from cellweave.functions.scalars import chunk_of, decode_category, local_row, quantise, scaling_factor
 from cellweave.operators import align, drift, ids, matrix, obs, profile
 from cellweave.operators.blocks import entries, read_blocks
+from cellweave.session import join_checked
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -74,8 +76,6 @@ def row_long_list(spark, d):
 
 
 def row_mask(spark, d):
-    from cellweave.functions.index import normalize_row_indices
-
     return matrix.select_ids(_x(spark, d), normalize_row_indices([i % 4 == 1 for i in range(100)], 100))
 
 
@@ -86,19 +86,16 @@ def row_packed(spark, d):
     return packed.select("row_id", F.size("cols").alias("nnz"), F.coalesce(F.array_min("cols"), F.lit(-1)).alias("first_col"), F.aggregate("vals", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-def row_packed_arrays(spark, d):
-    return matrix.unpack(matrix.pack(matrix.select_ids(_x(spark, d), [2, 4]), matrix.id_table(spark, [2, 4])))
-
-
-def _named(spark, d, condition):
+def _named(spark, d, index):
     """Entries of the columns whose names are asked for: names become positions first, and those reach the scan."""
-    wanted = _var(spark, d).where(condition)
-    positions = sorted(r["col_id"] for r in wanted.collect())  # as many as are asked for
-    return matrix.select_ids(_x(spark, d), positions, "col_id").join(F.broadcast(wanted), "col_id").select("row_id", "gene", "val")
+    names = [r["gene"] for r in _var(spark, d).orderBy("col_id").select("gene").collect()]  # the header of the matrix
+    positions = list(normalize_column_indices(index, len(names), names))
+    wanted = spark.createDataFrame([(k, names[k]) for k in positions], "col_id long, gene string")
+    return join_checked(matrix.select_ids(_x(spark, d), positions, "col_id"), wanted, "col_id").select("row_id", "gene", "val")
 
 
 def col_by_name(spark, d):
-    return _named(spark, d, "gene = 'P000042'")
+    return _named(spark, d, "P000042")
 
 
 def col_list(spark, d):
@@ -106,7 +103,7 @@ def col_list(spark, d):
 
 
 def col_name_slice(spark, d):
-    return _named(spark, d, "gene BETWEEN 'P000010' AND 'P000015'")
+    return _named(spark, d, slice("P000010", "P000015"))
 
 
 def col_kept_cells(spark, d):
@@ -126,10 +123,6 @@ def coo_block_entries(spark, d):
     return entries(read_blocks(spark, f"{d}/blockcsr.parquet"))
 
 
-def transpose_cm(spark, d):
-    return matrix.transpose(matrix.select_ids(_x(spark, d), list(range(0, 20))))
-
-
 def row_nnz(spark, d):
     return matrix.row_stats(_x(spark, d)).select("row_id", "nnz")
 
@@ -186,7 +179,7 @@ def align_to_gene_list(spark, d):
 
 def missing_genes_zero(spark, d):
     x = _x(spark, d).join(_var(spark, d), "col_id")
-    mapped = x.join(F.broadcast(_target(spark, d)), "gene").select("row_id", F.col("new_col").alias("col_id"), "val")
+    mapped = join_checked(x, _target(spark, d), "gene").select("row_id", F.col("new_col").alias("col_id"), "val")
     return align.with_empty_columns(matrix.col_stats(mapped), _target(spark, d))
 
 
@@ -244,44 +237,28 @@ def multi_source_row_ids(spark, d):
     return ids.global_rows(local, ids.source_offsets(counts, "source"), "local_row", "source", "global_row").select("source", "row_id", "global_row")
 
 
-def vstack_rows(spark, d):
-    n = _table(spark, d, "supplier").count()
-    x = _x(spark, d)
-    return matrix.row_stats(matrix.vstack([(x, n), (matrix.select_ids(x, [0, 1, 2]), 3)])).select("row_id", "nnz")
-
-
-def hstack_columns(spark, d):
-    n = _table(spark, d, "part").count()
-    x = matrix.select_ids(_x(spark, d), [0, 1])
-    return matrix.hstack([(x, n), (x, n)]).select("row_id", F.col("col_id").cast("int").alias("col_id"), "val")
-
-
-def in_shape_entries(spark, d):
-    return matrix.in_shape(_x(spark, d), 8, 100)
-
-
-def transpose_whole(spark, d):
+def transpose_cm(spark, d):
     return matrix.transpose(_x(spark, d))
 
 
-def row_packed_arrays_whole(spark, d):
+def row_packed_arrays(spark, d):
     x = _x(spark, d)
     return matrix.unpack(matrix.pack(x, x.select("row_id").distinct()))
 
 
-def vstack_whole(spark, d):
+def vstack_rows(spark, d):
     n = _table(spark, d, "supplier").count()
     x = _x(spark, d)
     return matrix.vstack([(x, n), (x, n)])
 
 
-def hstack_whole(spark, d):
+def hstack_columns(spark, d):
     n = _table(spark, d, "part").count()
     x = _x(spark, d)
     return matrix.hstack([(x, n), (x, n)]).select("row_id", F.col("col_id").cast("long").alias("col_id"), "val")
 
 
-def in_shape_whole(spark, d):
+def in_shape_entries(spark, d):
     """Within the shape of the tables less one: the greatest numbers lie outside."""
     return matrix.in_shape(_x(spark, d), _table(spark, d, "supplier").count() - 1, _table(spark, d, "part").count() - 1)
 
@@ -300,20 +277,22 @@ def category_decode(spark, d):
     return _table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), decode_category((F.col("s_nationkey") % 6 - 1).cast("int"), cats).alias("category"))
 
 
+def _estimate(spark, nnz: DataFrame, k: int):
+    """The estimate for the entries summed up in ``nnz`` (one row)."""
+    got = matrix.memory_estimate(int(nnz.collect()[0][0]), k)
+    return spark.createDataFrame([(got["nnz"], got["bytes"])], "nnz long, bytes long")
+
+
 def memory_estimate_rows(spark, d):
-    nnz = matrix.select_ids(matrix.row_stats(_x(spark, d)), list(range(0, 10))).agg(F.sum("nnz").alias("nnz"))
-    return nnz.select("nnz", (F.col("nnz") * 12 + 11 * 4).alias("bytes"))
+    return _estimate(spark, matrix.select_ids(matrix.row_stats(_x(spark, d)), list(range(0, 10))).agg(F.sum("nnz")), 10)
 
 
 def memory_estimate_cols(spark, d):
-    nnz = matrix.select_ids(matrix.col_stats(_x(spark, d)), [1, 17, 42], "col_id").agg(F.sum("nnz").alias("nnz"))
-    return nnz.select("nnz", (F.col("nnz") * 12 + 4 * 4).alias("bytes"))
+    return _estimate(spark, matrix.select_ids(matrix.col_stats(_x(spark, d)), [1, 17, 42], "col_id").agg(F.sum("nnz")), 3)
 
 
 def memory_estimate_all(spark, d):
-    x = _x(spark, d)
-    n = _table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("n"))
-    return x.agg(F.count(F.lit(1)).alias("nnz")).join(F.broadcast(n), F.lit(True)).select("nnz", (F.col("nnz") * 12 + (F.col("n") + 1) * 4).alias("bytes"))
+    return _estimate(spark, _x(spark, d).agg(F.count(F.lit(1))), _table(spark, d, "supplier").count())
 
 
 def random_rows_count(spark, d):
@@ -339,7 +318,6 @@ _CORE = (
     row_nnz, col_nnz, nnz_total, row_qc_metrics, scaling_factors, qc_filter_row_index, obs_positions, align_to_gene_list, missing_genes_zero, gene_dup_last_wins, gene_overlap,
     missing_gene_names, quantise_clamp, obs_outer, obs_inner, obs_columns, obs_column_report, multi_source_row_ids, vstack_rows, hstack_columns, in_shape_entries, chunk_stats,
     chunk_coordinates, category_decode, memory_estimate_rows, memory_estimate_cols, memory_estimate_all, random_rows_count, event_matrix_stats, dense_rows,
-    transpose_whole, row_packed_arrays_whole, vstack_whole, hstack_whole, in_shape_whole,
 )
 
 _X = "x AS (SELECT l_suppkey AS row_id, l_partkey AS col_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2)"
@@ -355,7 +333,6 @@ _CORE_SQL = {
     "row_long_list": f"WITH {_X} SELECT * FROM x WHERE row_id % 3 = 1 AND row_id < 100000",
     "row_mask": f"WITH {_X} SELECT * FROM x WHERE row_id < 100 AND row_id % 4 = 1",
     "row_packed": f"WITH {_X}, w(row_id) AS (VALUES (0), (1), (5), (1000000)) SELECT CAST(w.row_id AS BIGINT) AS row_id, CAST(count(col_id) AS INTEGER) AS nnz, coalesce(min(col_id), -1) AS first_col, CAST(coalesce(sum(val), 0) AS BIGINT) AS total FROM w LEFT JOIN x ON x.row_id = w.row_id GROUP BY 1",
-    "row_packed_arrays": f"WITH {_X} SELECT * FROM x WHERE row_id IN (2, 4)",
     "col_by_name": f"WITH {_X}, {_VAR} SELECT row_id, gene, val FROM x JOIN v USING (col_id) WHERE gene = 'P000042'",
     "col_list": f"WITH {_X} SELECT * FROM x WHERE col_id IN (1, 17, 42)",
     "col_name_slice": f"WITH {_X}, {_VAR} SELECT row_id, gene, val FROM x JOIN v USING (col_id) WHERE gene BETWEEN 'P000010' AND 'P000015'",
@@ -365,7 +342,6 @@ _CORE_SQL = {
 rws AS (SELECT start_row + i AS row_id, ncols, indices[indptr[i+1]+1 : indptr[i+2]] AS c, data[indptr[i+1]+1 : indptr[i+2]] AS v FROM (SELECT *, unnest(range(nrows_in_block)) AS i FROM latest)),
 raw AS (SELECT row_id, ncols, unnest(c) AS col_id, unnest(v) AS val FROM rws)
 SELECT row_id, col_id, CAST(sum(val) AS BIGINT) AS val FROM raw WHERE col_id >= 0 AND col_id < ncols GROUP BY 1, 2""",
-    "transpose_cm": f"WITH {_X} SELECT col_id AS row_id, row_id AS col_id, val FROM x WHERE row_id BETWEEN 0 AND 19",
     "row_nnz": f"WITH {_X} SELECT row_id, count(*) AS nnz FROM x GROUP BY 1",
     "col_nnz": f"WITH {_X}, {_VAR}, c AS (SELECT col_id, count(*) AS nnz FROM x GROUP BY 1) SELECT gene, CAST(col_id AS BIGINT) AS index, coalesce(nnz, 0) AS nnz FROM v LEFT JOIN c USING (col_id)",
     "nnz_total": f"WITH {_X} SELECT count(*) AS nnz FROM x",
@@ -386,9 +362,6 @@ SELECT row_id, col_id, CAST(sum(val) AS BIGINT) AS val FROM raw WHERE col_id >=
 k AS (SELECT c, count(*) = 4 AS common FROM l GROUP BY 1)
 SELECT dataset, coalesce(string_agg(c, ', ' ORDER BY c) FILTER (WHERE common), '') AS common_columns, coalesce(string_agg(c, ', ' ORDER BY c) FILTER (WHERE NOT common), '') AS unique_columns FROM l JOIN k USING (c) GROUP BY 1""",
     "multi_source_row_ids": f"WITH {_S}, d AS (SELECT DISTINCT source, row_id FROM s), o AS (SELECT source, (row_number() OVER (ORDER BY source) - 1) * (SELECT count(*) FROM supplier) AS off FROM (SELECT DISTINCT source FROM s)) SELECT source, row_id, CAST(off + row_id AS BIGINT) AS global_row FROM d JOIN o USING (source)",
-    "vstack_rows": f"WITH {_X} SELECT row_id, count(*) AS nnz FROM (SELECT row_id, col_id FROM x UNION ALL SELECT row_id + (SELECT count(*) FROM supplier), col_id FROM x WHERE row_id < 3) GROUP BY 1",
-    "hstack_columns": f"WITH {_X} SELECT row_id, CAST(col_id AS INTEGER) AS col_id, val FROM x WHERE row_id < 2 UNION ALL SELECT row_id, CAST(col_id + (SELECT count(*) FROM part) AS INTEGER), val FROM x WHERE row_id < 2",
-    "in_shape_entries": f"WITH {_X} SELECT * FROM x WHERE row_id < 8 AND col_id < 100",
     "chunk_stats": f'WITH {_X} SELECT CAST(row_id // 8 AS INTEGER) AS chunk, min(row_id) AS start, max(row_id) AS "end", count(*) AS nnz FROM x GROUP BY 1',
     "chunk_coordinates": "SELECT s_suppkey AS row_id, CAST(s_suppkey // 16 AS INTEGER) AS chunk, s_suppkey % 16 AS local_row FROM supplier",
     "category_decode": "SELECT s_suppkey AS row_id, CASE s_nationkey % 6 - 1 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' WHEN 2 THEN 'high' END AS category FROM supplier",
@@ -396,11 +369,11 @@ SELECT dataset, coalesce(string_agg(c, ', ' ORDER BY c) FILTER (WHERE common), '
     "memory_estimate_cols": f"WITH {_X} SELECT count(*) AS nnz, count(*) * 12 + 16 AS bytes FROM x WHERE col_id IN (1, 17, 42)",
     "memory_estimate_all": f"WITH {_X} SELECT count(*) AS nnz, count(*) * 12 + ((SELECT count(*) FROM supplier) + 1) * 4 AS bytes FROM x",
     "event_matrix_stats": "SELECT event_type AS gene, count(*) AS nnz, CAST(sum(val) AS BIGINT) AS total FROM (SELECT user_id, event_type, count(*) AS val FROM events GROUP BY 1, 2) GROUP BY 1",
-    "transpose_whole": f"WITH {_X} SELECT col_id AS row_id, row_id AS col_id, val FROM x",
-    "row_packed_arrays_whole": f"WITH {_X} SELECT * FROM x",
-    "vstack_whole": f"WITH {_X} SELECT row_id, col_id, val FROM x UNION ALL SELECT row_id + (SELECT count(*) FROM supplier), col_id, val FROM x",
-    "hstack_whole": f"WITH {_X} SELECT row_id, col_id, val FROM x UNION ALL SELECT row_id, col_id + (SELECT count(*) FROM part), val FROM x",
-    "in_shape_whole": f"WITH {_X} SELECT * FROM x WHERE row_id < (SELECT count(*) - 1 FROM supplier) AND col_id < (SELECT count(*) - 1 FROM part)",
+    "transpose_cm": f"WITH {_X} SELECT col_id AS row_id, row_id AS col_id, val FROM x",
+    "row_packed_arrays": f"WITH {_X} SELECT * FROM x",
+    "vstack_rows": f"WITH {_X} SELECT row_id, col_id, val FROM x UNION ALL SELECT row_id + (SELECT count(*) FROM supplier), col_id, val FROM x",
+    "hstack_columns": f"WITH {_X} SELECT row_id, col_id, val FROM x UNION ALL SELECT row_id, col_id + (SELECT count(*) FROM part), val FROM x",
+    "in_shape_entries": f"WITH {_X} SELECT * FROM x WHERE row_id < (SELECT count(*) - 1 FROM supplier) AND col_id < (SELECT count(*) - 1 FROM part)",
     "dense_rows": "SELECT CAST(i AS INTEGER) AS col_id, count(*) AS nnz FROM (SELECT unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1",
 }
 
