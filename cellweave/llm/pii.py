@@ -34,6 +34,8 @@ FIT_DOCUMENTS = 3_000
 FIT_LONGEST = 50_000
 #: Most entries of each gazetteer, far above the number of surnames of a country; bounds what every worker holds.
 GAZETTEER = 1_000_000
+#: How far the silence of a labeler that could speak for a candidate counts against it, once the rates are known.
+SILENCE = 0.4
 #: Hashed features of a classifier.
 WIDTH = 1 << 14
 #: Decisions and token classes that a worker remembers.
@@ -104,7 +106,7 @@ _LEGAL = r"(?:Ltd|Limited|plc|PLC|SA|S\.A\.|GmbH|AG|KG|SARL|SAS|LLP|LLC|Inc|Corp
 _FIRM_RIGHT = re.compile(rf" (?:and|&|et|und) (?:Sons?|Fils|Söhne|Partners|Co)\b| & [{_U}]|(?: [{_U}][\w-]+)?(?: (?:and|&) [{_U}][\w-]+)? {_LEGAL}\b")
 _FIRM_WORD = re.compile(rf"(?<= )([{_U}][\w-]+) {_LEGAL}\b")
 _NEXT_WORD = re.compile(rf" ([{_U}][\w-]+)")
-_PLACE_RIGHT = re.compile(rf"(?: [{_U}][\w-]+)? (?:Bridge|Act|Acts|Rules|Code|Ordinance|Regulations?|{_EN_TYPE}|Quay|Park|Mill|Station)\b|[- ]?(?:straße|brücke|gesetz|platz)")
+_PLACE_RIGHT = re.compile(rf"(?: [{_U}][\w-]+)? (?:(?i:Bridge|Acts?|Rules|Code|Ordinance|Regulations?|Quay|Park|Mill|Station)|{_EN_TYPE})\b|[- ]?(?i:straße|brücke|gesetz|platz)")
 _PLACE_LEFT = re.compile(r"(?:(?:Court|COURT|Tribunal|TRIBUNAL)(?: of| OF| Of)(?: Appeal of)?|APPEAL OF|\d{5}|, à| near| in|(?:rue|avenue|quai|place)(?: d[eu]s?)?) $")
 _TOWN = re.compile(r"(?:(?:District Court|Court of Appeal|High Court|Labour Tribunal|DISTRICT COURT|COURT OF APPEAL|HIGH COURT|LABOUR TRIBUNAL) (?:of|OF)) ([^\W\d_]+)")
 
@@ -118,8 +120,8 @@ LABELERS = {
     "email": (("format", 1), ("context", 1), ("trap", -1)),
     "phone": (("format", 1), ("left context", 1), ("right context", 1), ("trap", -1), ("date", -1), ("other kind", -1), ("no context", -1)),
     "id": (("format", 1), ("left context", 1), ("right context", 1), ("trap", -1), ("date", -1), ("other kind", -1), ("no context", -1)),
-    "address": (("format", 1), ("left context", 1), ("after a name", 1), ("right context", 1), ("court", -1)),
-    "name": (("title", 1), ("left role", 1), ("right role", 1), ("form", 1), ("in document", 1), ("gazetteer", 1), ("case", -1), ("firm", -1), ("place", -1), ("lower case", -1)),
+    "address": (("format", 1), ("left context", 1), ("after a name", 1), ("right context", 1), ("court", -1), ("no context", -1)),
+    "name": (("title", 1), ("left role", 1), ("right role", 1), ("form", 1), ("in document", 1), ("gazetteer", 1), ("case", -1), ("firm", -1), ("place", -1), ("lower case", -1), ("unlisted", -1)),
 }
 
 class _Memo(dict):
@@ -350,7 +352,8 @@ def _addresses(text: str) -> list[Candidate]:
             continue
         left, right = text[max(0, s - 60) : s], text[e : e + 30]
         court = bool(_COURT_LEFT.search(left) or _COURT_RIGHT.match(right))
-        votes = _vote((True, 1), (bool(_ADDRESS_LEFT.search(left)), 1), (bool(_ADDRESS_PARTY.search(left)) and not court, 1), (bool(_ADDRESS_RIGHT.match(right)), 1), (court, -1))
+        around = bool(_ADDRESS_LEFT.search(left)), bool(_ADDRESS_PARTY.search(left)) and not court, bool(_ADDRESS_RIGHT.match(right))
+        votes = _vote((True, 1), *((hit, 1) for hit in around), (court, -1), (not any(around), -1))
         found.append(Candidate("address", s, e, votes, ("", *_near(text, s, e))))
     return found
 
@@ -434,7 +437,7 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]]) -> list[Candi
             if spoken or not known_m or not (role or _ROLE_RIGHT.match(text, end)):
                 begin, form, titled = s, "alone", True
         place = bool(_PLACE_RIGHT.match(text, end) or (form == "alone" and _PLACE_LEFT.search(left[-30:])))
-        votes = _vote((titled, 1), (bool(_ROLE_LEFT.search(left[-32:])), 1), (bool(_ROLE_RIGHT.match(text, end)), 1), (form != "alone" or titled, 1), (key in people, 1), (memo[word] == 2, 1), (case, -1), (firm, -1), (place, -1), (word.islower() and form == "alone", -1))
+        votes = _vote((titled, 1), (bool(_ROLE_LEFT.search(left[-32:])), 1), (bool(_ROLE_RIGHT.match(text, end)), 1), (form != "alone" or titled, 1), (key in people, 1), (memo[word] == 2, 1), (case, -1), (firm, -1), (place, -1), (word.islower() and form == "alone", -1), (not memo[word], -1))
         shape = form + ("^" if word.isupper() else "_" if word.islower() else "")
         found.append(Candidate("name", begin, end, votes, (shape, *_near(text, begin, end))))
     return found
@@ -460,13 +463,18 @@ def candidates(text: str, g: Gazetteers) -> list[Candidate]:
 class Reliabilities:
     """How often each labeler votes on true and on false candidates of a kind, and how many are true."""
 
-    def __init__(self, share: float, on_true: np.ndarray, on_false: np.ndarray):
-        self.share, self.on_true, self.on_false = share, on_true, on_false
+    def __init__(self, share: float, on_true: np.ndarray, on_false: np.ndarray, sign: np.ndarray):
+        self.share, self.on_true, self.on_false, self.sign = share, on_true, on_false, sign
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Chance that a candidate is true; a labeler that abstains counts as well."""
+    def posterior(self, votes: np.ndarray, silence: float = 1.0) -> np.ndarray:
+        """Chance that a candidate is true.
+
+        The silence of labelers against a candidate counts in full, as they look at what would always stand
+        beside it; that of labelers for it counts ``silence`` times.
+        """
         fired = votes != 0
-        odds = math.log(self.share / (1 - self.share)) + fired @ np.log(self.on_true / self.on_false) + ~fired @ np.log((1 - self.on_true) / (1 - self.on_false))
+        quiet = np.log((1 - self.on_true) / (1 - self.on_false)) * np.where(self.sign < 0, 1.0, silence)
+        odds = math.log(self.share / (1 - self.share)) + fired @ np.log(self.on_true / self.on_false) + ~fired @ quiet
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -486,19 +494,19 @@ def fit_reliabilities(kind: str, patterns: Counter, rounds: int = 200, weight: f
     sign = np.array([v for _, v in LABELERS[kind]])
     overall = (n @ fired + 0.5) / (n.sum() + 1)
     post = 1 / (1 + np.exp(-1.5 * votes.sum(1)))
-    found = Reliabilities(0.5, overall, overall)
+    found = Reliabilities(0.5, overall, overall, sign)
     for _ in range(rounds):
         true, false = n * post, n * (1 - post)
         on_true, on_false = (true @ fired + weight * overall) / (true.sum() + weight), (false @ fired + weight * overall) / (false.sum() + weight)
         turned = np.where(sign > 0, on_true < on_false, on_true > on_false)
         on_true, on_false = np.where(turned, overall, on_true), np.where(turned, overall, on_false)
-        found = Reliabilities(float((true.sum() + 1) / (n.sum() + 2)), on_true, on_false)
+        found = Reliabilities(float((true.sum() + 1) / (n.sum() + 2)), on_true, on_false, sign)
         new = found.posterior(votes)
         moved = np.abs(new - post).max()
         post = new
         if moved < 1e-6:
             break
-    return found, dict(zip(keys, post.tolist()))
+    return found, dict(zip(keys, (found.posterior(votes, SILENCE) if rounds else post).tolist()))
 
 
 def _slot(text: str) -> int:
@@ -558,7 +566,7 @@ def fit(texts: list[str], steps: int = 400, gazetteers: Gazetteers | None = None
             for j in range(i, width):
                 votes = tuple(v if k in (i, j) else 0 for k, (_, v) in enumerate(LABELERS[kind]))
                 if votes not in post:
-                    post[votes] = float(found.posterior(np.array([votes], float))[0])
+                    post[votes] = float(found.posterior(np.array([votes], float), SILENCE)[0])
                     rows.append(((kind, votes, ("", "", "")), 1))
         slots = [_slots(*k) for k, _ in rows]
         row = np.repeat(np.arange(len(rows)), [len(s) for s in slots])

@@ -21,6 +21,11 @@ marked AS (SELECT *, CASE WHEN cells < 0.005 * all_cells THEN 'rare' WHEN cells
 """
 
 SQL = {
+    "p1_found": f"""WITH RECURSIVE {_CELLS},
+v AS (SELECT row_index, col, val / sqrt(sum(CAST(val AS DOUBLE) * val) OVER (PARTITION BY row_index)) AS w FROM x WHERE val <> 0),
+near AS (SELECT a.row_index AS i, b.row_index AS j FROM v a JOIN v b ON a.col = b.col AND a.row_index <> b.row_index GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.75),
+reach AS (SELECT i, j FROM near UNION SELECT r.i, n.j FROM reach r JOIN near n ON r.j = n.i)
+SELECT min(j) AS cluster_id, i AS row_index FROM reach GROUP BY i""",
     "p3_counts": _GENES + "SELECT gene, entries, cells, all_cells, mark FROM marked",
     "p3_found": _GENES + "SELECT gene, mark FROM marked WHERE mark <> ''",
     "p3_terms": """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM documents)
