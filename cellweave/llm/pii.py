@@ -79,7 +79,7 @@ _DE_LEFT = re.compile(rf"(?:(?:Am|An der|An den|Im|In der|Auf der|Zum|Zur|AM) (?
 _NUMBER = re.compile(r"[0-9]+")
 _AFTER_HOUSE = frozenset(" ,/abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _STREET_FIRST = frozenset("raqbpcit")
-_FR_ANCHOR = re.compile(r"[rRaAqQbBpPcCiI](?:ue|UE|venue|VENUE|uai|UAI|oulevard|OULEVARD|lace|LACE|hemin|HEMIN|mpasse|MPASSE|llée|LLÉE|ours|OURS|assage|ASSAGE) |\b(?:[cC]alle|[aA]venida|[pP]laza|[pP]aseo|[vV]iale?|[pP]iazza|[cC]orso) ")
+_FR_ANCHOR = re.compile(r"[rRaAqQbBpPcCiIvV](?:ue|UE|venue|VENUE|uai|UAI|oulevard|OULEVARD|lace|LACE|hemin|HEMIN|mpasse|MPASSE|llée|LLÉE|ours|OURS|assage|ASSAGE|alle|ALLE|venida|VENIDA|laza|LAZA|aseo|ASEO|ia|IA|iale|IALE|iazza|IAZZA|orso|ORSO) ")
 _DE_TAILS = ("ße ", "sse ", "tr. ", "weg ", "lee ", "atz ", "ring ", "amm ", "fer ", "rkt ")
 _ADDRESS_LEFT = re.compile(r"\b(?:resid\w*|lives?|living|demeur\w*|domicili\w*|wohn\w*|served|delivered|left|address\w*|anschrift|adresse|habit\w*|of|sis\w*)(?: (?:at|in|au|à|is|ist|est|on))?:?,? $", re.I)
 _ADDRESS_PARTY = re.compile(r"(?:[^\W\d_]{1,}\.?|[\])█…_X]), $")
@@ -96,11 +96,59 @@ _SIGNED = re.compile(rf"(?:([{_U}][\w'’-]+) (?:([{_U}])\. )?)(?:{_PARTICLE} )?
 _PARTICLE_ENDS = frozenset(("de ", "an ", "on ", "di ", "el ", "er ", "zu "))
 _GIVEN_RIGHT = re.compile(rf", ([^\W\d_][\w’]*(?:-[^\W\d_][\w’]+)?)(?: ([{_U}]\.))?(?![\w])")
 _INITIAL_RIGHT = re.compile(rf", ([{_U}]\.)(?![\w])")
-_ROLE = r"(?:witness(?:es)?|counsel(?: for)?|claimant|respondent|applicant|appellant|plaintiff|defendant|petitioner|registrar|clerk|judge|justice|presiding|attorney|solicitor|barrister|between|evidence of|demandeu(?:r|resse)|défendeu(?:r|resse)|appelante?|intimée?|requérante?|témoin|avocate?|greffi(?:er|ère)|juge|présidente?|entre|plaidé|notamment|procès-verbal|signé|signed|kläger(?:in)?|beklagter?|antragsteller(?:in)?|zeug(?:e|in|en)|richter(?:in)?|vorsitz\w*|gegen|sache|bevollmächtigt\w*|vollmacht|rechtsanw\w+|gez\.)"
-_ROLE_LEFT = re.compile(rf"(?:\b{_ROLE}(?: war| a| below| für| for| of| de)?[ ,:]{{1,3}}|\b(?:erklärte|sagte|behauptete|said|says|déclare|soutient) |[—/] )$", re.I)
-_SAYS = r"(?:did|does|submit\w*|state[sd]|stated|conced\w*|resid\w*|testif\w*|argue\w*|sa(?:id|ys)|told|den(?:y|ies|ied)|claim(?:s|ed)|maintain\w*|admit\w*|appear\w*|is|was|has|had|soutient|a déclaré|a reconnu|affirm\w*|déclare|conteste|par acte|trägt|hat|habe|erklärt\w*|behaupt\w*|bestreit\w*|gemäß|wohn\w*|demeur\w*)"
-_ROLE_RIGHT = re.compile(rf"(?:,? {_ROLE}\b| {_SAYS}\b|, (?:demeur|wohn|resid|domicil|of \d)|['’]s (?:account|evidence|claim|statement))", re.I)
-_ROLED = re.compile(rf"(?i:\b{_ROLE}(?: war| a| below| für| for| of| de)?[ ,:]{{1,3}})(?:{_PARTICLE} |[{_U}]\. )?([{_U}][\w'’]+)")
+_ROLES = frozenset(
+    "witness witnesses counsel claimant respondent applicant appellant plaintiff defendant petitioner registrar clerk judge justice presiding attorney solicitor barrister between "
+    "demandeur demanderesse défendeur défenderesse appelant appelante intimé intimée requérant requérante témoin avocat avocate greffier greffière juge président présidente entre plaidé notamment procès-verbal signé signed "
+    "kläger klägerin beklagte beklagter antragsteller antragstellerin zeuge zeugin zeugen richter richterin gegen sache vollmacht gez".split()
+)
+_ROLE_STEMS = ("vorsitz", "bevollmächtigt", "rechtsanw")
+_ROLE_LINKS = frozenset("war a below für for of de".split())
+_TITLES = frozenset("mr mrs ms dr mme mlle frau herr herrn".split())
+_SAID_BEFORE = frozenset("erklärte sagte behauptete said says déclare soutient".split())
+_SAYS = frozenset("did does state stated states said says told deny denies denied claims claimed is was has had soutient déclare conteste trägt hat habe gemäß".split())
+_SAY_STEMS = ("submit", "conced", "resid", "testif", "argue", "maintain", "admit", "appear", "affirm", "erklärt", "behaupt", "bestreit", "wohn", "demeur")
+_LIVE_STEMS = ("demeur", "wohn", "resid", "domicil")
+_FOLLOWING = re.compile(r",? ([^\W_]+(?:-[^\W\d_]+)?)")
+_SAYS_TWO = re.compile(r" (?:a (?:déclaré|reconnu|affirmé|dit)|par acte)\b")
+_ACCOUNT = re.compile(r"['’]s (?:account|evidence|claim|statement)\b")
+_ROLED = re.compile(rf"(?:[gG]ez\.|[^\W_]+(?:-[^\W\d_]+)?)(?: (?:war|a|below|für|for|of|de))?[ ,:]{{1,3}}(?:{_PARTICLE} |[{_U}]\. )?([{_U}][\w'’]+)")
+
+
+def _is_role(word: str) -> bool:
+    return word in _ROLES or word.startswith(_ROLE_STEMS)
+
+
+def _role_left(left: str) -> bool:
+    """Does the text end with a role, perhaps with a small word after it, a word of saying, a dash or a slash?"""
+    if not left.endswith(" "):
+        return False
+    words = left.rsplit(None, 2)
+    last = words[-1] if words else ""
+    bare = last.rstrip(",:").lower().lstrip("([—„“«\"'")
+    if not bare:
+        return False
+    if bare in ("—", "/") or _is_role(bare) or bare == "gez." or bare in _SAID_BEFORE:
+        return True
+    before = words[-2].lower().lstrip("([—„“«\"'") if len(words) > 1 else ""
+    return bare in _ROLE_LINKS and (_is_role(before) or before == "evidence" and bare == "of")
+
+
+def _role_right(text: str, end: int) -> bool:
+    """Does a role follow, a word of saying, or where somebody lives?"""
+    mark = text[end : end + 1]
+    if mark in " ,":
+        m = _FOLLOWING.match(text, end)
+        if not m:
+            return False
+        word = m.group(1).lower()
+        if _is_role(word):
+            return True
+        if mark == ",":
+            return word.startswith(_LIVE_STEMS) or (word == "of" and text[m.end() + 1 : m.end() + 2].isdigit())
+        return word in _SAYS or word.startswith(_SAY_STEMS) or (word in ("a", "par") and bool(_SAYS_TWO.match(text, end)))
+    return mark in "'’" and bool(_ACCOUNT.match(text, end))
+
+
 _CASE_RIGHT = re.compile(r" (?:v\.?|vs\.?) [\w\[(█]")
 _LEGAL = r"(?:Ltd|Limited|plc|PLC|SA|S\.A\.|GmbH|AG|KG|SARL|SAS|LLP|LLC|Inc|Corp|Co|Bank|Trust|Holdings?|Group|Partners|Brothers)"
 _FIRM_RIGHT = re.compile(rf" (?:and|&|et|und) (?:Sons?|Fils|Söhne|Partners|Co)\b| & [{_U}]|(?: [{_U}][\w-]+)?(?: (?:and|&) [{_U}][\w-]+)? {_LEGAL}\b")
@@ -149,7 +197,7 @@ class Gazetteers:
         self.given = {g for g, n in given.most_common(GAZETTEER) if g not in self.towns}
         self.firms = {f for f, n in firms.most_common(GAZETTEER) if f not in self.surnames and f not in self.given}
         self.surname_parts, self.given_parts = self._parts(self.surnames), self._parts(self.given)
-        self.memo, self.given_memo = _Memo(self.surname), _Memo(self.is_given)
+        self.memo, self.given_memo, self.words = _Memo(self.surname), _Memo(self.is_given), _Memo(self.word)
 
     @staticmethod
     def _parts(names: set[str], least: int = 4) -> tuple[set[str], set[str]]:
@@ -178,6 +226,11 @@ class Gazetteers:
                 got = min(got, 1 if len(bare) > 4 and self._made(bare, self.surname_parts) else 0)
         return got
 
+    def word(self, word: str) -> int:
+        """What a word may begin: its class as a surname, 4 for a title, 8 for a role."""
+        low = word.lower()
+        return self.surname(word) | (4 if low in _TITLES else 0) | (8 if _is_role(low) or low == "evidence" else 0)
+
     def is_given(self, word: str) -> bool:
         low = word.lower()
         return low in self.given or (len(low) > 3 and low not in self.towns and self._made(low, self.given_parts))
@@ -246,11 +299,15 @@ class Candidate:
         self.kind, self.start, self.end, self.votes, self.features = kind, start, end, votes, features
 
 
+def _no_digits(word: str) -> str:
+    return word if word.isalpha() else _NUMBER.sub("0", word)
+
+
 def _near(text: str, s: int, e: int) -> tuple[str, str]:
     """The word before and the word after, digits as 0."""
     left = text[max(0, s - 24) : s].rsplit(None, 1)
     right = text[e : e + 24].split(None, 1)
-    return re.sub(r"\d+", "0", left[-1] if left else ""), re.sub(r"\d+", "0", right[0] if right else "")
+    return _no_digits(left[-1] if left else ""), _no_digits(right[0] if right else "")
 
 
 def _emails(text: str) -> list[Candidate]:
@@ -361,19 +418,24 @@ def _addresses(text: str) -> list[Candidate]:
 def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]]) -> list[Candidate]:
     memo = g.memo
     given = g.given_memo
-    anchors, at = [], 0
-    for w in [w for w in _WORD.findall(text) if memo[w]]:  # words in their order; most are none
+    anchors, cues, at = [], [], 0
+    words = g.words
+    for w in [w for w in _WORD.findall(text) if words[w]]:  # words in their order; most are none
         at = text.find(w, at)
         while (at and text[at - 1].isalpha()) or text[at + len(w) : at + len(w) + 1].isalpha():
             at = text.find(w, at + 1)
-        anchors.append((at, at + len(w), w))
+        if words[w] & 3:
+            anchors.append((at, at + len(w), w))
+        if words[w] & 12:
+            cues.append((at, words[w]))
         at += len(w)
     known = {s for s, _, _ in anchors}
-    for m in [*_TITLED.finditer(text), *_ROLED.finditer(text)]:  # names on no list
-        w = _WORD.match(text, m.start(1))
-        if m.re is _ROLED and w and given[w.group()]:
+    for at, cue in cues:  # names on no list
+        m = (_TITLED if cue & 4 else _ROLED).match(text, at)
+        w = _WORD.match(text, m.start(1)) if m else None
+        if cue & 8 and w and given[w.group()]:
             w = _WORD.match(text, w.end() + 1) if text[w.end() : w.end() + 1] == " " and text[w.end() + 1 : w.end() + 2].isupper() else None
-        if w and w.start() not in known and len(set(w.group().lower())) > 2 and (m.re is _TITLED or w.group().lower() not in g.towns):
+        if w and w.start() not in known and len(set(w.group().lower())) > 2 and w.group().lower() not in _TITLES and (cue & 4 or w.group().lower() not in g.towns):
             known.add(w.start())
             anchors.append((*w.span(), w.group()))
     anchors.sort()
@@ -395,7 +457,7 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]]) -> list[Candi
         begin, end, form, initial = s, e, "alone", ""
         if after == "," and (m := _GIVEN_RIGHT.match(text, e)) and given[m.group(1)]:
             end, form, initial = m.end(), "last first", m.group(1)[0].upper()
-        elif after == "," and (m := _INITIAL_RIGHT.match(text, e)) and not _ROLE_RIGHT.match(text, e):
+        elif after == "," and (m := _INITIAL_RIGHT.match(text, e)) and not _role_right(text, e):
             end, form, initial = m.end(), "last first", m.group(1)[0]
         elif s > 1 and text[s - 1] == " ":
             at = text.rfind(" ", 0, s - 1) + 1
@@ -434,10 +496,10 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]]) -> list[Candi
             role = re.search(r"(?:[Tt]émoin|plaidé|donné à|entre|Demandeu\w+:|Défendeu\w+:|Signé :|et|—|/) $", left)
             spoken = left.endswith("procès-verbal, ") or text.startswith(" soutient", end)
             known_m = "M" in people.get(key, set()) or (role and not people.get(key))
-            if spoken or not known_m or not (role or _ROLE_RIGHT.match(text, end)):
+            if spoken or not known_m or not (role or _role_right(text, end)):
                 begin, form, titled = s, "alone", True
         place = bool(_PLACE_RIGHT.match(text, end) or (form == "alone" and _PLACE_LEFT.search(left[-30:])))
-        votes = _vote((titled, 1), (bool(_ROLE_LEFT.search(left[-32:])), 1), (bool(_ROLE_RIGHT.match(text, end)), 1), (form != "alone" or titled, 1), (key in people, 1), (memo[word] == 2, 1), (case, -1), (firm, -1), (place, -1), (word.islower() and form == "alone", -1), (not memo[word], -1))
+        votes = _vote((titled, 1), (_role_left(left[-32:]), 1), (_role_right(text, end), 1), (form != "alone" or titled, 1), (key in people, 1), (memo[word] == 2, 1), (case, -1), (firm, -1), (place, -1), (word.islower() and form == "alone", -1), (not memo[word], -1))
         shape = form + ("^" if word.isupper() else "_" if word.islower() else "")
         found.append(Candidate("name", begin, end, votes, (shape, *_near(text, begin, end))))
     return found
