@@ -92,7 +92,6 @@ _PARTICLE_LEFT = re.compile(rf"(?<![\w'’-]){_PARTICLE} $")
 _TITLE_WORD = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Me|Mme|Mlle|Frau|Herrn?|Justice|Lord|Lady|Sir|Maître|Madame|Monsieur)"
 _TITLE = re.compile(rf"(?<![\w'’-]){_TITLE_WORD}\.? $")
 _TITLED = re.compile(rf"(?<![\w'’-])(?:Mr|Mrs|Ms|Dr|Mme|Mlle|Frau|Herrn?)\.? (?:{_PARTICLE} )?([{_U}][\w'’]+(?:-[{_U}][\w'’]+)*)")
-_SIGNED = re.compile(rf"(?:([{_U}][\w'’-]+) (?:([{_U}])\. )?)(?:{_PARTICLE} )?([{_U}][\w'’]+(?:-[{_U}][\w'’]+)*), (?:Claimant|Respondent|Applicant|Appellant|Registrar|Judge|presiding|appearing|Demandeu|Défendeu|Appelant|Intimé|président|Kläger|Beklagt|Vorsitz|Richter|demeurant|wohnhaft|residing)")
 _PARTICLE_ENDS = frozenset(("de ", "an ", "on ", "di ", "el ", "er ", "zu "))
 _GIVEN_RIGHT = re.compile(rf", ([^\W\d_][\w’]*(?:-[^\W\d_][\w’]+)?)(?: ([{_U}]\.))?(?![\w])")
 _INITIAL_RIGHT = re.compile(rf", ([{_U}]\.)(?![\w])")
@@ -152,11 +151,12 @@ def _role_right(text: str, end: int) -> bool:
 _CASE_RIGHT = re.compile(r" (?:v\.?|vs\.?) [\w\[(█]")
 _LEGAL = r"(?:Ltd|Limited|plc|PLC|SA|S\.A\.|GmbH|AG|KG|SARL|SAS|LLP|LLC|Inc|Corp|Co|Bank|Trust|Holdings?|Group|Partners|Brothers)"
 _FIRM_RIGHT = re.compile(rf" (?:and|&|et|und) (?:Sons?|Fils|Söhne|Partners|Co)\b| & [{_U}]|(?: [{_U}][\w-]+)?(?: (?:and|&) [{_U}][\w-]+)? {_LEGAL}\b")
-_FIRM_WORD = re.compile(rf"(?<= )([{_U}][\w-]+) {_LEGAL}\b")
 _NEXT_WORD = re.compile(rf" ([{_U}][\w-]+)")
 _PLACE_RIGHT = re.compile(rf"(?: [{_U}][\w-]+)? (?:(?i:Bridge|Acts?|Rules|Code|Ordinance|Regulations?|Quay|Park|Mill|Station)|{_EN_TYPE})\b|[- ]?(?i:straße|brücke|gesetz|platz)")
-_PLACE_LEFT = re.compile(r"(?:(?:Court|COURT|Tribunal|TRIBUNAL)(?: of| OF| Of)(?: Appeal of)?|APPEAL OF|\d{5}|, à| near| in|(?:rue|avenue|quai|place)(?: d[eu]s?)?) $")
-_TOWN = re.compile(r"(?:(?:District Court|Court of Appeal|High Court|Labour Tribunal|DISTRICT COURT|COURT OF APPEAL|HIGH COURT|LABOUR TRIBUNAL) (?:of|OF)) ([^\W\d_]+)")
+_PLACE_FIRST = frozenset(" -sbgpSBGP")
+_PLACE_ENDS = tuple(f"{x} " for x in ("Court", "COURT", "Tribunal", "TRIBUNAL", "Court of", "COURT OF", "Tribunal of", "TRIBUNAL OF", "Court of Appeal of", "APPEAL OF", ", à", " near", " in", "rue", "rue de", "rue du", "rue des", "avenue", "avenue de", "avenue du", "avenue des", "quai", "quai de", "quai du", "quai des", "place", "place de", "place du", "place des"))
+_TITLE_ENDS = tuple(f"{x}{dot} " for x in ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Me", "Mme", "Mlle", "Frau", "Herr", "Herrn", "Justice", "Lord", "Lady", "Sir", "Maître", "Madame", "Monsieur") for dot in ("", "."))
+_TOWN = re.compile(r"(?:District\s+Court|Court\s+of\s+Appeal|High\s+Court|Labour\s+Tribunal|DISTRICT\s+COURT|COURT\s+OF\s+APPEAL|HIGH\s+COURT|LABOUR\s+TRIBUNAL)\s+(?:of|OF)\s+([^\W\d_]+)")
 
 
 def _vote(*pairs: tuple[bool, int]) -> tuple[int, ...]:
@@ -197,7 +197,7 @@ class Gazetteers:
         self.given = {g for g, n in given.most_common(GAZETTEER) if g not in self.towns}
         self.firms = {f for f, n in firms.most_common(GAZETTEER) if f not in self.surnames and f not in self.given}
         self.surname_parts, self.given_parts = self._parts(self.surnames), self._parts(self.given)
-        self.memo, self.given_memo, self.words = _Memo(self.surname), _Memo(self.is_given), _Memo(self.word)
+        self.memo, self.given_memo, self.words, self.tokens = _Memo(self.surname), _Memo(self.is_given), _Memo(self.word), _Memo(self.token)
 
     @staticmethod
     def _parts(names: set[str], least: int = 4) -> tuple[set[str], set[str]]:
@@ -231,6 +231,10 @@ class Gazetteers:
         low = word.lower()
         return self.surname(word) | (4 if low in _TITLES else 0) | (8 if _is_role(low) or low == "evidence" else 0)
 
+    def token(self, token: str) -> bool:
+        """Has any of the words between two blanks a class?"""
+        return any(self.word(w) for w in _WORD.findall(token))
+
     def is_given(self, word: str) -> bool:
         low = word.lower()
         return low in self.given or (len(low) > 3 and low not in self.towns and self._made(low, self.given_parts))
@@ -240,20 +244,46 @@ def _bare(part: str) -> str:
     return re.sub(r"^(?:mac|mc|o'|d')", "", part)
 
 
+def _variants(words, ends=("", ",", ".", ";", ":")) -> list[str]:
+    return [w + end for w in words for end in ends]
+
+
+_SIGNED_AS = ("Claimant", "Respondent", "Applicant", "Appellant", "Registrar", "Judge", "presiding", "appearing", "Demandeur", "Demanderesse", "Défendeur", "Défenderesse", "Appelant", "Appelante", "Intimé", "Intimée", "président", "présidente", "Kläger", "Klägerin", "Beklagter", "Beklagte", "Vorsitz", "Vorsitzender", "Vorsitzende", "Richter", "Richterin", "demeurant", "wohnhaft", "residing")
+#: Tokens that say what stands beside them.
+_CUES = {
+    **dict.fromkeys(_variants(("Mr", "Mrs", "Ms", "Dr", "Mme", "Mlle", "Frau", "Herr", "Herrn"), ("", ".")), "title"), **dict.fromkeys(_variants(_SIGNED_AS), "role"),
+    **dict.fromkeys(_variants(("Ltd", "Limited", "plc", "PLC", "SA", "S.A", "GmbH", "AG", "KG", "SARL", "SAS", "LLP", "LLC", "Inc", "Corp", "Co", "Bank", "Trust", "Holding", "Holdings", "Group", "Partners", "Brothers")), "firm"),
+}
+_PARTICLES = frozenset("de DE De van VAN Van von VON Von di DI Di del DEL Del ter Ter zu Zu".split())
+_NAME_TOKEN = re.compile(rf"[{_U}][\w'’]+(?:-[{_U}][\w'’]+)*")
+_CAPITAL = re.compile(rf"[{_U}][\w'’-]+")
+_INITIAL = re.compile(rf"[{_U}]\.")
+
+
 def _mentions(texts) -> Counter:
     """How often each (kind, word, surname) stands in sure contexts: titled surnames, towns, words before a firm's legal form, and given names of signed full names."""
     seen: Counter = Counter()
     for text in texts:
-        for m in _TITLED.finditer(text):
-            for part in m.group(1).lower().replace("’", "'").split("-"):
-                bare = _bare(part)
-                if len(set(bare)) > 2:  # not a blackened name
-                    seen["surname", bare, ""] += 1
+        tokens = text.split()
+        for i, cue in [(i, _CUES[t]) for i, t in enumerate(tokens) if t in _CUES]:
+            if cue == "title":
+                j = i + 2 if i + 1 < len(tokens) and tokens[i + 1] in _PARTICLES else i + 1
+                m = _NAME_TOKEN.match(tokens[j]) if j < len(tokens) else None
+                for part in m.group().lower().replace("’", "'").split("-") if m else ():
+                    bare = _bare(part)
+                    if len(set(bare)) > 2:  # not a blackened name
+                        seen["surname", bare, ""] += 1
+            elif cue == "firm":
+                if i > 1 and _CAPITAL.fullmatch(tokens[i - 1]):
+                    seen["firm", tokens[i - 1].lower(), ""] += 1
+            elif i > 1 and tokens[i - 1].endswith(",") and _NAME_TOKEN.fullmatch(tokens[i - 1], 0, len(tokens[i - 1]) - 1):
+                j = i - 2
+                j -= tokens[j] in _PARTICLES and j > 0
+                j -= j > 0 and bool(_INITIAL.fullmatch(tokens[j]))
+                m = _CAPITAL.search(tokens[j])
+                if m and m.end() == len(tokens[j]):
+                    seen["given", m.group().lower(), "-".join(_bare(p) for p in tokens[i - 1][:-1].lower().split("-"))] += 1
         seen.update(("town", t.lower(), "") for t in _TOWN.findall(text))
-        seen.update(("firm", w.lower(), "") for w in _FIRM_WORD.findall(text))
-        for m in _SIGNED.finditer(text):
-            if len(m.group(1)) > 1:
-                seen["given", m.group(1).lower(), "-".join(_bare(p) for p in m.group(3).lower().split("-"))] += 1
     return seen
 
 
@@ -276,7 +306,7 @@ def corpus_gazetteers(docs: DataFrame, column: str = "text") -> Gazetteers:
 
     def run(batches):
         for batch in batches:
-            seen = _mentions(" ".join(t.split()) for t in batch.column(0).to_pylist() if t and t.strip())
+            seen = _mentions(t for t in batch.column(0).to_pylist() if t)
             parts = [*zip(*seen)] or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in parts), pa.array(seen.values(), pa.int64())], ["kind", "word", "last", "n"])
 
@@ -419,16 +449,16 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]]) -> list[Candi
     memo = g.memo
     given = g.given_memo
     anchors, cues, at = [], [], 0
-    words = g.words
-    for w in [w for w in _WORD.findall(text) if words[w]]:  # words in their order; most are none
-        at = text.find(w, at)
-        while (at and text[at - 1].isalpha()) or text[at + len(w) : at + len(w) + 1].isalpha():
-            at = text.find(w, at + 1)
-        if words[w] & 3:
-            anchors.append((at, at + len(w), w))
-        if words[w] & 12:
-            cues.append((at, words[w]))
-        at += len(w)
+    tokens, words = g.tokens, g.words
+    for token in text.split(" "):  # most hold nothing of interest
+        if tokens[token]:
+            for m in _WORD.finditer(token):
+                cls = words[m.group()]
+                if cls & 3:
+                    anchors.append((at + m.start(), at + m.end(), m.group()))
+                if cls & 12:
+                    cues.append((at + m.start(), cls))
+        at += len(token) + 1
     known = {s for s, _, _ in anchors}
     for at, cue in cues:  # names on no list
         m = (_TITLED if cue & 4 else _ROLED).match(text, at)
@@ -477,20 +507,27 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]]) -> list[Candi
 
     def of_firm(begin: int, end: int) -> bool:
         """Is it followed by what firms have after a name, or preceded by an ampersand?"""
-        if text[max(0, begin - 2) : begin] == "& " or _FIRM_RIGHT.match(text, end):
+        if text[begin - 2 : begin] == "& ":
+            return True
+        if text[end : end + 1] != " ":
+            return False
+        first = text[end + 1 : end + 2]
+        if not (first in "&aeu" or first.isupper()):
+            return False
+        if _FIRM_RIGHT.match(text, end):
             return True
         following = _NEXT_WORD.match(text, end)
         return bool(following) and following.group(1).lower() in g.firms
 
-    for begin, s, e, end, form, initial, word, key in rough:
-        if form in ("full", "last first") and not of_firm(begin, end):
+    firms = [of_firm(r[0], r[3]) for r in rough]
+    for firm, (_, _, _, _, form, initial, _, key) in zip(firms, rough):
+        if not firm and form in ("full", "last first"):
             people.setdefault(key, set()).add(initial)
     found = []
-    for begin, s, e, end, form, initial, word, key in rough:
-        firm = of_firm(begin, end)
+    for firm, (begin, s, e, end, form, initial, word, key) in zip(firms, rough):
         left = text[max(0, begin - 48) : begin]
-        case = left.endswith((" v ", " v. ", " vs. ", " vs ", " c. ")) or bool(_CASE_RIGHT.match(text, end))
-        titled = bool(_TITLE.search(left[-10:]))
+        case = left.endswith((" v ", " v. ", " vs. ", " vs ", " c. ")) or (text[end : end + 2] == " v" and bool(_CASE_RIGHT.match(text, end)))
+        titled = left.endswith(_TITLE_ENDS) and bool(_TITLE.search(left[-10:]))
         if form == "initial" and french and initial == "M":
             # in French, M. is a title unless the place is one where a full name stands and nobody's initial differs
             role = re.search(r"(?:[Tt]émoin|plaidé|donné à|entre|Demandeu\w+:|Défendeu\w+:|Signé :|et|—|/) $", left)
@@ -498,8 +535,10 @@ def _names(text: str, g: Gazetteers, taken: list[tuple[int, int]]) -> list[Candi
             known_m = "M" in people.get(key, set()) or (role and not people.get(key))
             if spoken or not known_m or not (role or _role_right(text, end)):
                 begin, form, titled = s, "alone", True
-        place = bool(_PLACE_RIGHT.match(text, end) or (form == "alone" and _PLACE_LEFT.search(left[-30:])))
-        votes = _vote((titled, 1), (_role_left(left[-32:]), 1), (_role_right(text, end), 1), (form != "alone" or titled, 1), (key in people, 1), (memo[word] == 2, 1), (case, -1), (firm, -1), (place, -1), (word.islower() and form == "alone", -1), (not memo[word], -1))
+        alone = form == "alone"
+        place = (text[end : end + 1] in _PLACE_FIRST and bool(_PLACE_RIGHT.match(text, end))) or (alone and (left.endswith(_PLACE_ENDS) or left[-6:-1].isdecimal()))
+        cls = memo[word]
+        votes = (int(titled), int(_role_left(left)), int(_role_right(text, end)), int(not alone or titled), int(key in people), int(cls == 2), -int(case), -int(firm), -int(place), -int(alone and word.islower()), -int(not cls))
         shape = form + ("^" if word.isupper() else "_" if word.islower() else "")
         found.append(Candidate("name", begin, end, votes, (shape, *_near(text, begin, end))))
     return found
