@@ -388,14 +388,14 @@ def _numbers(text: str) -> list[Candidate]:
                 at = text.find(" ", at, e) + 1 or -1
         formed = {k: bool(v) for k, v in ends.items()}
         near = max(0, s - 40, text.rfind(". ", max(0, s - 40), max(0, s - 2)) + 1)  # within the sentence, about; "no. 5" is no end
-        phone_left, id_left = bool(_PHONE_WORD.search(text, near, s)), bool(_ID_WORD.search(text, near, s))
         date = bool(_DATE.match(text, s))
-        if phone_left and not formed["phone"] and not formed["id"] and not date:
-            loose = _LOOSE.match(text, s)
-            ends["phone"] = loose.end() if loose and sum(c.isdigit() for c in loose.group(0)) >= 6 else 0
+        if not formed["phone"] and not formed["id"]:
+            loose = None if date else _LOOSE.match(text, s)
+            if not loose or sum(c.isdigit() for c in loose.group(0)) < 6 or not _PHONE_WORD.search(text, near, s):
+                continue
+            ends["phone"] = loose.end()
         kinds = [k for k in ("phone", "id") if ends[k]]
-        if not kinds:
-            continue
+        phone_left, id_left = bool(_PHONE_WORD.search(text, near, s)), bool(_ID_WORD.search(text, near, s))
         trap = bool(_NUMBER_TRAP.search(text, max(0, s - 34), s))
         for kind in kinds:
             end = ends[kind]
