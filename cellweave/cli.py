@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--obs-join-on", nargs="*")
     b.add_argument("--obs-name", default="obs.parquet")
     b.add_argument("--keep-stage", action="store_true")
+    b.add_argument("--only", help="manifest: build of the sources that it names")
     m = sub.add_parser("build-mtx", help="build a dataset out of matrix files")
     m.add_argument("path")
     m.add_argument("output")
@@ -40,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     o.add_argument("output")
     o.add_argument("--strategy", default="outer", choices=("outer", "inner", "columns"))
     o.add_argument("--join-on", nargs="*")
+    o.add_argument("--only", help="manifest: join the metadata of the sources that it names")
     e = sub.add_parser("export-blocks", help="write the row layout as block files")
     e.add_argument("dataset")
     e.add_argument("target")
@@ -60,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
             report = check.check_directory(args.directory)
             print(json.dumps(report.__dict__, indent=1, default=list))
         elif args.command == "build":
-            print(json.dumps(pipeline.build_dataset(_session(), args.directory, args.output, args.genes, args.block_rows, args.max_rows, args.max_columns, args.obs_strategy, args.obs_join_on, args.obs_name, args.min_nnz, not args.keep_stage), indent=1))
+            print(json.dumps(pipeline.build_dataset(_session(), args.directory, args.output, args.genes, args.block_rows, args.max_rows, args.max_columns, args.obs_strategy, args.obs_join_on, args.obs_name, args.min_nnz, not args.keep_stage, only=args.only), indent=1))
         elif args.command == "build-mtx":
             print(json.dumps(pipeline.build_from_mtx(_session(), args.path, args.output), indent=1))
         elif args.command == "align":
@@ -68,6 +70,7 @@ def main(argv: list[str] | None = None) -> int:
             x.write.mode("overwrite").parquet(args.output)
         elif args.command == "obs":
             spark, sources = _session(), discover(args.directory)
+            sources = pipeline.in_manifest(sources, args.only) if args.only else sources
             sizes = [open_source(s.path).n_rows for s in sources]
             offsets = pipeline.source_offsets(spark.createDataFrame([(s.number, n) for s, n in zip(sources, sizes)], "source_no int, n_rows long"))
             stats = matrix.row_stats(pipeline.global_rows(readers.read_matrix(spark, sources, sizes), offsets))
