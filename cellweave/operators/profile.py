@@ -100,14 +100,17 @@ def frequent_values(rows: DataFrame, columns, least: float = 0.1) -> dict[str, l
 
 
 class Features:
-    """Numbered features of a row: per column null or not, well formed or not, length, kinds of its first characters, its alphabet, and its value.
+    """Numbered features of a row: per column null or not, well formed or not, length, kinds of its characters, its alphabet, and its value.
+
+    All of them are taken from the whole text, however long. Lengths below ``SHORT`` have a feature each,
+    greater ones share hash slots, as kinds and alphabets do.
 
     Frequent values have a feature each, all others share hash slots whose number grows with the
     square root of the rows of a load. Null and the value features together part the rows of a
     column, each row having exactly one of them.
     """
 
-    LENGTHS, SHAPES, ALPHABETS = 33, 64, 128
+    SHORT, LENGTHS, SHAPES, ALPHABETS = 32, 64, 64, 128
 
     def __init__(self, columns, frequent: dict[str, list[str]], rows_per_load: float):
         self.columns = list(columns)
@@ -129,13 +132,14 @@ class Features:
         out = []
         for c, base in zip(self.columns, self.base):
             v = F.col(c)
-            shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(v, 1, 64), "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A")
-            alphabet = F.array_sort(F.array_distinct(F.split(F.substring(v, 1, 64), "")))
+            shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]+", "0"), "[a-z]+", "a"), "[A-Z]+", "A")
+            alphabet = F.array_sort(F.array_distinct(F.split(v, "")))
+            length = F.when(F.length(v) < self.SHORT, F.length(v)).otherwise(self.SHORT + F.pmod(F.xxhash64(F.length(v)), F.lit(self.LENGTHS - self.SHORT)))
             value = base + 3 + self.LENGTHS + self.SHAPES + self.ALPHABETS
             slot = F.lit(value + len(self.frequent.get(c, ()))) + F.pmod(F.xxhash64(v), F.lit(self.slots))
             for i, one in enumerate(self.frequent.get(c, ())):
                 slot = F.when(v == one, F.lit(value + i)).otherwise(slot)
-            known = (F.when(F.col(c + "_ok"), F.lit(base + 1)).otherwise(F.lit(base + 2)), base + 3 + F.least(F.length(v), F.lit(self.LENGTHS - 1)), base + 3 + self.LENGTHS + F.pmod(F.xxhash64(shape), F.lit(self.SHAPES)), base + 3 + self.LENGTHS + self.SHAPES + F.pmod(F.xxhash64(alphabet), F.lit(self.ALPHABETS)), slot)
+            known = (F.when(F.col(c + "_ok"), F.lit(base + 1)).otherwise(F.lit(base + 2)), base + 3 + length, base + 3 + self.LENGTHS + F.pmod(F.xxhash64(shape), F.lit(self.SHAPES)), base + 3 + self.LENGTHS + self.SHAPES + F.pmod(F.xxhash64(alphabet), F.lit(self.ALPHABETS)), slot)
             out += [F.when(v.isNull(), F.lit(base)).otherwise(known[0]), *(F.when(v.isNull(), F.lit(-1)).otherwise(k) for k in known[1:])]
         return F.array(*[x.cast("int") for x in out])
 

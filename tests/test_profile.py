@@ -92,3 +92,16 @@ def test_changes_within_the_pattern_and_many_columns(spark, ref):
         assert len(test) == 3 * len(columns)
         assert test[2, "barcode"].auc < 0.56 and test[3, "barcode"].auc > 0.9 and test[4, "barcode"].auc > 0.9  # length, then alphabet
         assert test[3, "barcode"].drop > 0.3 and abs(test[3, "_source_file"].drop) < 0.05
+
+
+def test_changes_far_behind_in_long_texts(spark, ref):
+    """Loads whose texts begin alike differ by letters, kinds of characters or length after 80 characters only."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, (letters, size) in enumerate([("AC", 20), ("AC", 20), ("GT", 20), ("GT", 45), ("G7", 45)], 1):
+        rows += [(n * 10_000 + i, n, "ACGT" * 20 + "".join(rng.choice(list(letters), size)), "12345678_a.zarr", "p1", 0) for i in range(600)]
+        rows += [(n * 10_000 + 600 + i, n, "AC" * 40 + "".join(rng.choice(list(letters), size)), "12345678_a.zarr", "p1", 0) for i in range(300)]
+    test = {r.load_no: r for r in profile.two_sample_test(profile.checked(spark.createDataFrame(rows, OBS), ref)).collect() if r.column_name == "barcode"}
+    assert test[2].auc < 0.56
+    assert test[3].auc > 0.6 and test[4].auc > 0.9 and test[5].auc > 0.9  # alphabet of the last 300, length, kinds
+    assert all(test[n].z > 5 and test[n].drop > 0.1 for n in (3, 4, 5))
