@@ -147,3 +147,54 @@ def test_names_that_the_sample_lacks(spark, model):
     one = pii.gather_gazetteers([" ".join(t.split()) for _, t in rows])
     assert "jbrandwik" in whole.surnames and (whole.surnames, whole.given, whole.towns, whole.firms) == (one.surnames, one.given, one.towns, one.firms)
     assert "jbrandwik" in pii.fit_on(df, most=5).gazetteers.surnames
+
+
+def test_tokens_that_differ_in_digits_only_are_looked_at_once(model):
+    before = len(model.gazetteers.tokens)
+    found(model, " ".join(f"{i} ({i}) [{i + 1}] {i}.{i + 7},50" for i in range(1000, 2000)))
+    assert len(model.gazetteers.tokens) - before <= 4
+
+
+ODD = [
+    "", "7", "12", "rue", "+", "( 12 34567 and (+49 ( 12", "AB 12 34 56 C and XAB 12 34 56 CD or AB 12 34 56", "T44199114 XT44199114, T4419911 ABC-123456-D AABC-123456-DE", "+999 (0)56 871234 – 12 – 3456 7",
+    "12 rue l'avenue RUE xrue cia Via rue", "a@b.de x(At)y.com [AT] (at at at dot de dot x at at at dot y dot", "at a dot b at c dot", "12 (13 :14 x15 [16] 17a 18/2 weg 19.5 str. 20, 21 bis", "١٢ ٣٤٥ 1٢34567890 12 (– 12 –", "0 00 000 0000 00000 000000 0000000 1-2-3-4-5-6-7 1.2.3.4.5.6.7.8 12/34/56/78 ",
+]
+
+
+def test_marks_are_what_whole_texts_show():
+    """The places taken from tokens give what the expressions find in the whole text, whatever stands beside it."""
+    g = pii.gather_gazetteers([text(i) for i in range(60)])
+    texts = [*ODD, *(" ".join(text(i).split()) for i in range(5)), *ODD]
+    for t, marks in zip(texts, pii._marks(texts, g), strict=True):
+        assert pii._spans(pii._DIGITS, t, marks.digits) == [m.span() for m in pii._DIGITS.finditer(t)]
+        assert pii._spans(pii._LETTER_ID, t, sorted(marks.letters)) == [m.span() for m in pii._LETTER_ID.finditer(t)]
+        assert sorted(marks.at) == sorted([m.span() for m in pii._AT.finditer(t)] + [m.span() for m in pii._AT_DOT.finditer(t)])
+        assert marks.streets == [m.start() for m in pii._FR_ANCHOR.finditer(t) if not (m.start() and t[m.start() - 1].isalnum())]
+        assert marks.names == [(*m.span(), m.group()) for m in pii._WORD.finditer(t) if g.words[m.group()] & 3] and marks.cues == [(m.start(), g.words[m.group()]) for m in pii._WORD.finditer(t) if g.words[m.group()] & 12]
+        numbers = [m.span() for m in pii._NUMBER.finditer(t) if not m.start() or t[m.start() - 1] in " (:"]
+        assert set(marks.houses) <= set(numbers)
+        assert [(c.start, c.end, c.votes) for c in pii._addresses(t, marks.houses, marks.streets)] == [(c.start, c.end, c.votes) for c in pii._addresses(t, numbers, marks.streets)]
+
+
+def test_texts_together_are_as_each_alone(model, monkeypatch):
+    texts = [*ODD, *(text(i) for i in range(300, 310)), *ODD]
+    alone = [[(c.kind, c.start, c.end) for c in model.find(t)] for t in texts]
+    assert sum(map(len, alone)) > 50
+    for size in (1, 60, 3_000, pii.AT_ONCE):
+        monkeypatch.setattr(pii, "AT_ONCE", size)
+        assert [[(c.kind, c.start, c.end) for c in got] for got in model.find_all(texts)] == alone
+    assert list(model.find_all([])) == []
+
+
+@pytest.mark.parametrize(
+    "words,towns",
+    [
+        ("District Court of Eldham and xHigh Court OF Velmark9 COURT OF APPEAL of Tarn", ["eldham", "velmark", "tarn"]),
+        ("High Court of Appeal of X Court of Appeal of High Court of Y", ["appeal", "high"]),
+        ("Labour\n Tribunal  of\tFoo-District Court of Bar", ["foo", "bar"]),
+        ("Court of Eldham Labour Court of A District Court in B High Court of", []),
+        ("LABOUR TRIBUNAL OF 9a Court OF Appeal of C", []),
+    ],
+)
+def test_towns_of_courts(words, towns):
+    assert {w: n for (k, w, _), n in pii._mentions([words]).items() if k == "town"} == Counter(towns)
