@@ -288,3 +288,21 @@ def test_failed_build_resumes_only_with_the_same_inputs(spark, sources, tmp_path
     assert len(stages) == 1 and os.path.isfile(os.path.join(out, stages[0], "_SUCCESS"))
     meta = pipeline.build_dataset(spark, sources[0], out, GENES[:3], max_rows=8, max_columns=2, min_nnz=0, cleanup=False)
     assert meta["shape"] == [32, 3] and meta["kept_rows"] == 32 and len([n for n in os.listdir(out) if n.startswith("_stage")]) == 2
+
+
+def test_pointers_are_those_of_local_results_and_need_no_driver(built, spark, monkeypatch):
+    from cellweave.operators import matrix
+    from cellweave.plans import stored_queries
+
+    ds, _, _ = built
+    monkeypatch.setattr(matrix, "SPAN", 3)
+    for csr, index, got in [(ds.rows_csr(i), i, ds.row_pointers(i)) for i in (slice(None), [3, 4, 9, 31], [4], [])] + [(ds.columns_csr(i), i, ds.column_pointers(i)) for i in (slice(None), ["G4", "G0"])]:
+        at = csr.indptr.tolist()
+        expected = [(k, a, b, csr.indices[a:b].sum(), csr.data[a:b].sum()) for k, (a, b) in enumerate(zip(at, at[1:]))]
+        assert sorted(tuple(r) for r in got.collect()) == expected, index
+    twice = spark.createDataFrame([(7, 1, 2.0), (7, 1, 3.0), (7, 4, 1.0), (9, 0, 1.0)], "row_id long, col_id int, val double")
+    assert sorted(tuple(r) for r in matrix.pointers(twice, [5, 7, 9]).collect()) == [(0, 0, 0, 0.0, 0.0), (1, 0, 2, 5.0, 6.0), (2, 2, 3, 0.0, 1.0)]
+    monkeypatch.setattr(stored_queries, "dataset", lambda spark, d: ds)
+    monkeypatch.setattr("cellweave.plans.reader.to_csr", None)  # columns grow with the cells: none of their entries may come here
+    monkeypatch.setattr(Dataset, "col_ids", lambda self, index: range(5))
+    assert stored_queries.ds_columns_csr(spark, "").count() == 5
